@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm.packing import container_fill, pack_documents
 from marlstone.llm.representative import best_records
+from marlstone.llm.sentences import split_sentences
 from marlstone.llm.top_n import top_findings
 from marlstone.sources.tables import table
 
@@ -40,7 +41,12 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return container_fill(p6_containers(spark, d), table(spark, d, "pack_sizes"))
 
 
-QUERIES: dict[str, Query] = {"p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_top_ten": p5_top_ten, "p6_containers": p6_containers, "p6_fill": p6_fill}
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return split_sentences(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Query] = {"p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_top_ten": p5_top_ten, "p6_containers": p6_containers, "p6_fill": p6_fill, "p8_found": p8_found}
 
 _PATH = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
   regexp_replace(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '\\', '/', 'g'), '/+', '/', 'g'), '^(\./)+', ''), '(/\.)+(/|$)', '\2', 'g'),

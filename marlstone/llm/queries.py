@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marlstone.llm.leaks import leaked_items
 from marlstone.llm.packing import container_fill, pack_documents
 from marlstone.llm.representative import best_records
 from marlstone.llm.sentences import split_sentences
@@ -42,11 +43,15 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return split_sentences(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_top_ten": p5_top_ten, "p6_containers": p6_containers, "p6_fill": p6_fill, "p8_found": p8_found}
+QUERIES: dict[str, Query] = {"p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_top_ten": p5_top_ten, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p8_found": p8_found}
 
 _PATH = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
   regexp_replace(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '\\', '/', 'g'), '/+', '/', 'g'), '^(\./)+', ''), '(/\.)+(/|$)', '\2', 'g'),

@@ -29,9 +29,9 @@ CHAR_MASKS = ("1111111", "1110110111")
 WORD_RULE, CHAR_RULE = (20, 12, 11, 160, 80), (60, 40, 30, 120, 60)
 BLOCK_ITEMS = 4000
 
-_UNSPACED = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿々฀-๿຀-໿က-႟ក-៿]")
+_UNSPACED = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u3005\u0e00-\u0e7f\u0e80-\u0eff\u1000-\u109f\u1780-\u17ff]")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|<!--.*?-->", re.DOTALL)
-_INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿\U000e0000-\U000e0fff]")
+_INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\U000e0000-\U000e0fff]")
 _BROKEN = re.compile(r"([^\W_]+)[-‐‑]\s*\n[ \t]*(?:(?://+|#+|[>*%;]|--)[ \t]*)?([^\W_]+)")
 _WORD = re.compile(r"[^\W_]+")
 _rng = np.random.default_rng(20240607)

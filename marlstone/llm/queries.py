@@ -10,12 +10,29 @@ from marlstone.llm.leaks import leaked_items
 from marlstone.llm.packing import container_fill, pack_documents
 from marlstone.llm.representative import best_records
 from marlstone.llm.sentences import split_sentences
+from marlstone.llm.syntax import invalid_rates, parse_reports, scans_of_invalid
 from marlstone.llm.top_n import top_findings
 from marlstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return parse_reports(table(spark, d, "source_files")).filter("not valid").select("file_id")
+
+
+def p1_reports(spark: SparkSession, d: str) -> DataFrame:
+    return parse_reports(table(spark, d, "source_files"))
+
+
+def p1_rates(spark: SparkSession, d: str) -> DataFrame:
+    return invalid_rates(parse_reports(table(spark, d, "source_files")))
+
+
+def p1_scans(spark: SparkSession, d: str) -> DataFrame:
+    return scans_of_invalid(parse_reports(table(spark, d, "source_files")), table(spark, d, "cache_entries"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     best = best_records(table(spark, d, "cache_entries"), table(spark, d, "scan_origins"))
     return best.select("group_vuln_id", "title_vuln_id", "line_vuln_id", "confidence_vuln_id", "recommendation_vuln_id")
@@ -51,7 +68,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return split_sentences(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_top_ten": p5_top_ten, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_reports": p1_reports, "p1_rates": p1_rates, "p1_scans": p1_scans, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_top_ten": p5_top_ten, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p8_found": p8_found}
 
 _PATH = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
   regexp_replace(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '\\', '/', 'g'), '/+', '/', 'g'), '^(\./)+', ''), '(/\.)+(/|$)', '\2', 'g'),

@@ -49,7 +49,7 @@ _NEVER = {w for words in NEVER_END.values() for w in words.split()} - MAY_END
 LABELLED = set("plan version option appendix phase type class group part team level case variant table annex exhibit model schedule step tier plans plan, option, variante version, klasse teil fall план вариант часть класс".split())
 _MONTHS = "januar februar märz april mai juni juli august september oktober november dezember jänner jan feb apr jun jul aug sep sept okt nov dez".split()
 _MONTH = re.compile(rf"\s+(?:{'|'.join(_MONTHS)})\b", re.IGNORECASE)
-_UNSPACED = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ々຀-໿က-႟ក-៿]")
+_UNSPACED = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\u3005\u0e80-\u0eff\u1000-\u109f\u1780-\u17ff]")
 _NARROW = set("?!.") | set(ATERM)
 _TERMS = set(STERM + ATERM)
 _MARKED = STERM + ATERM + chr(34) + "".join(dict.fromkeys([*PAIRS, *_ENDS]))

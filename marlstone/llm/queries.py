@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marlstone.llm.families import file_families, import_origins, not_hand_written
 from marlstone.llm.leaks import leaked_items
 from marlstone.llm.packing import container_fill, pack_documents
 from marlstone.llm.representative import best_records
@@ -33,6 +34,22 @@ def p1_scans(spark: SparkSession, d: str) -> DataFrame:
     return scans_of_invalid(parse_reports(table(spark, d, "source_files")), table(spark, d, "cache_entries"))
 
 
+def _families(spark: SparkSession, d: str) -> DataFrame:
+    return file_families(table(spark, d, "source_files"), table(spark, d, "vendor_releases"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return not_hand_written(_families(spark, d)).select("file_id")
+
+
+def p2_families(spark: SparkSession, d: str) -> DataFrame:
+    return _families(spark, d)
+
+
+def p2_imports(spark: SparkSession, d: str) -> DataFrame:
+    return import_origins(table(spark, d, "file_imports"), table(spark, d, "source_files"), not_hand_written(_families(spark, d)))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     best = best_records(table(spark, d, "cache_entries"), table(spark, d, "scan_origins"))
     return best.select("group_vuln_id", "title_vuln_id", "line_vuln_id", "confidence_vuln_id", "recommendation_vuln_id")
@@ -68,7 +85,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return split_sentences(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_reports": p1_reports, "p1_rates": p1_rates, "p1_scans": p1_scans, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_top_ten": p5_top_ten, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_reports": p1_reports, "p1_rates": p1_rates, "p1_scans": p1_scans, "p2_found": p2_found, "p2_families": p2_families, "p2_imports": p2_imports, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_top_ten": p5_top_ten, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p8_found": p8_found}
 
 _PATH = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
   regexp_replace(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '\\', '/', 'g'), '/+', '/', 'g'), '^(\./)+', ''), '(/\.)+(/|$)', '\2', 'g'),

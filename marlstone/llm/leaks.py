@@ -31,8 +31,10 @@ BLOCK_ITEMS = 4000
 
 _UNSPACED = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u3005\u0e00-\u0e7f\u0e80-\u0eff\u1000-\u109f\u1780-\u17ff]")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|<!--.*?-->", re.DOTALL)
+_ENTITY = re.compile(r"&(?:#\d|#[xX]|[a-zA-Z]{2})")
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\U000e0000-\U000e0fff]")
 _BROKEN = re.compile(r"([^\W_]+)[-‐‑]\s*\n[ \t]*(?:(?://+|#+|[>*%;]|--)[ \t]*)?([^\W_]+)")
+_BREAK = re.compile(r"[-‐‑]\s*\n")
 _WORD = re.compile(r"[^\W_]+")
 _rng = np.random.default_rng(20240607)
 _FACTORS = _rng.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
@@ -41,7 +43,7 @@ _BITS = 20
 
 def plain(text: str) -> str:
     """The text without mark-up, invisible characters, width and case."""
-    if "&" in text:
+    if _ENTITY.search(text):
         text = html.unescape(text)
     if "<" in text:
         text = _TAG.sub("", text)
@@ -267,7 +269,7 @@ def _tokens(texts: list[str | None], index: Index) -> tuple[np.ndarray, np.ndarr
         begins.append(len(words))
         if text:
             clean = plain(text)
-            if "\n" in clean:
+            if _BREAK.search(clean):
                 clean = _BROKEN.sub(joined, clean)
             found = _WORD.findall(clean)
             words += [known(w, 0) for w in found]

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.operators import shred
+from marlstone.plans import finding_queries, source_queries
 from marlstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,5 +25,10 @@ def p3_items(spark: SparkSession, d: str) -> DataFrame:
     return shred.abi_items(shred.abi_nodes(table(spark, d, "abi_docs")))
 
 
-QUERIES: dict[str, Query] = {"p3_found": p3_found, "p3_params": p3_params, "p3_items": p3_items}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {"p3_found": p3_found, "p3_params": p3_params, "p3_items": p3_items} | finding_queries.QUERIES | source_queries.QUERIES
+SQL: dict[str, str] = finding_queries.SQL | source_queries.SQL
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Rule hits by category and rule."""
+    return finding_queries.QUERIES["agg_category"](spark, d)

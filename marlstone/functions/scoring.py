@@ -25,11 +25,12 @@ def cvss_base_score(vector: Column) -> Column:
     impact = F.when(changed, 7.52 * (iss - 0.029) - 3.25 * F.pow(iss - 0.02, F.lit(15.0))).otherwise(6.42 * iss)
     privileges = F.when(changed, _metric(vector, "PR", _PR["C"])).otherwise(_metric(vector, "PR", _PR["U"]))
     exploitability = 8.22 * _metric(vector, "AV", _AV) * _metric(vector, "AC", _AC) * privileges * _metric(vector, "UI", _UI)
-    raw = F.least(F.lit(10.0), F.when(changed, 1.08 * (impact + exploitability)).otherwise(impact + exploitability))
+    total = F.when(changed, 1.08 * (impact + exploitability)).otherwise(impact + exploitability)
+    raw = F.least(F.lit(10.0), total)
     # round up to one decimal, in whole steps of 1e-5 so that binary fractions do not tip it
     steps = F.round(raw * 100000).cast("long")
     up = F.when(steps % 10000 == 0, steps / 100000.0).otherwise((F.floor(steps / 10000) + 1) / 10.0)
-    return F.when(raw.isNull(), None).when(impact <= 0, F.lit(0.0)).otherwise(up)
+    return F.when(total.isNull(), None).when(impact <= 0, F.lit(0.0)).otherwise(up)
 
 
 def poly_hash(text: Column, bits: int = 32) -> Column:

@@ -239,6 +239,8 @@ def _matches(stream: Stream, tokens: np.ndarray, begins: np.ndarray) -> Iterator
             keep |= size[group] >= least
     order = np.argsort(pair[keep], kind="stable")
     pair, local, inside = pair[keep][order], local[keep][order], inside[keep][order]
+    if not len(pair):
+        return
     ends = np.concatenate([begins[1:], [len(tokens)]])
     edges = np.flatnonzero(np.diff(pair, prepend=-1))
     for a, b in zip(edges, [*edges[1:], len(pair)], strict=True):

@@ -8,7 +8,7 @@ member <- STR ':' value
 
 SOLIDITY = r"""
 unit <- part* END
-part <- pragma / import_one / using / contract / function / struct / enum / event / error_one / value_type / variable
+part <- pragma / import_one / using / contract / function / struct / enum / event / error_one / value_type / file_constant
 pragma <- 'pragma' (!{; <end>} any)+ ';'
 import_one <- 'import' (STR ('as' id)? / '*' 'as' id from_word STR / '{' symbol (',' symbol)* '}' from_word STR) ';'
 symbol <- id ('as' id)?
@@ -31,6 +31,7 @@ event <- 'event' id parameters 'anonymous'? ';'
 error_one <- 'error' id parameters ';'
 value_type <- 'type' id 'is' elementary ';'
 variable <- type variable_word* id ('=' expr)? ';'
+file_constant <- type 'constant' id '=' expr ';'
 variable_word <- {public private internal external constant immutable transient} / 'override' ('(' path (',' path)* ')')?
 elementary <- {ELEMENTARY address bool string bytes byte fixed ufixed var}
 id <- {ID error from global revert leave case switch default receive fallback layout at transient}
@@ -81,11 +82,11 @@ import_names <- word (',' (star / braces))? / star / braces
 star <- '*' 'as' word
 braces <- '{' (spec (',' spec)*)? ','? '}'
 spec <- name ('as' (name / STR))? / STR 'as' name
-export_one <- 'export' ('*' ('as' (name / STR))? 'from' STR semi / braces ('from' STR)? semi / 'default' (function / class / async_function / assign semi) / variable semi / function / async_function / class)
+export_one <- 'export' ('*' ('as' (name / STR))? 'from' STR semi / braces ('from' STR)? semi / 'default' (function / class / async_function / assign semi) / variable semi / named_function / named_async / named_class)
 semi <- ';' / &{RB <end>} / #nl
 word <- {ID async of get set static from as let await yield}
 name <- {ID async of get set static from as let await yield break case catch class const continue debugger default delete do else enum export extends false finally for function if import in instanceof new null return super switch this throw true try typeof var void while with}
-statement <- block / ';' / variable semi / function / async_function / class / if_one / for_one / while_one / do_one / jump / with_one / switch_one / throw_one / try_one / 'debugger' semi / label / !{function class} !('let' '[') !('async' !#nl 'function') expr semi
+statement <- block / ';' / variable semi / named_function / named_async / named_class / if_one / for_one / while_one / do_one / jump / with_one / switch_one / throw_one / try_one / 'debugger' semi / label / !{function class {} !('let' '[') !('async' !#nl 'function') expr semi
 label <- word ':' statement
 block <- '{' statement_in* '}'
 statement_in <- statement
@@ -106,8 +107,11 @@ switch_one <- 'switch' '(' expr ')' '{' (('case' expr / 'default') ':' statement
 throw_one <- 'throw' !#nl expr semi
 try_one <- 'try' block ('catch' ('(' (word / pattern) ')')? block ('finally' block)? / 'finally' block)
 function <- 'function' '*'? word? parameters block
+named_function <- 'function' '*'? word parameters block
+named_async <- 'async' !#nl 'function' '*'? word parameters block
 async_function <- 'async' !#nl 'function' '*'? word? parameters block
 parameters <- '(' (element_pattern (',' element_pattern)*)? ','? ')'
+named_class <- decorator* 'class' word ('extends' left)? '{' class_item* '}'
 class <- decorator* 'class' (!'extends' word)? ('extends' left)? '{' class_item* '}'
 decorator <- '@' left
 class_item <- ';' / decorator* ('static' block / modifiers (key / PRIVATE) (parameters block / ('=' assign)? semi))
@@ -116,7 +120,8 @@ key <- name / STR / NUM / '[' assign ']'
 expr <- assign (',' assign)*
 assign@ <- arrow / 'yield' (!#nl ('*'? assign))? / target_left assign_op assign / conditional
 assign_op <- {= += -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??=}
-target_left <- left / pattern
+target_left <- word !more / '(' target_left ')' !more / start (tail &more)* ('.' (name / PRIVATE) / '[' expr ']') !more / pattern
+more <- {. ?. [ ( TEMPLATE HEAD}
 arrow <- ('async' !#nl)? (word / parameters) !#nl '=>' (block / assign)
 conditional <- unary (binary unary)* ('?' assign ':' assign)?
 binary <- {+ - * / % ** << >> >>> & | ^ && || ?? == != === !== < > <= >= instanceof in}

@@ -36,7 +36,7 @@ NEVER_END = {
     "de": "hr fr dr prof nr nrn abs art bd bzw ca vgl z.b u.a d.h z.t i.d.r o.ä s.o s.u v.a m.e evtl ggf inkl exkl max min mind sog st str tel ing dipl abb kap zzgl abzgl bspw insb gem lt",
     "fr": "m mm mme mlle dr pr me art fig p pp env cf c.-à-d p.ex ex vol chap al éd n no st ste av bd tél réf",
     "es": "sr sra srta sres dr dra d dña prof núm num art arts fig figs pág págs p pp ej p.ej vol cap ed ee aprox av avda tel ud uds admón",
-    "ru": "т.е т.к т.ч т.н им см ср рис табл п пп стр с гл ст ч кн изд напр проф акад доц гр тов ул пр пл д кв корп тел акц",
+    "ru": "т.е т.к т.ч т.н им см ср рис табл п пп стр с гл ст ч кн изд напр проф акад доц гр тов ул пр пл кв корп тел акц",
     "pt": "sr sra dr dra exmo exma art fig pág núm vol",
     "it": "sig sigg sig.ra dott prof art fig pag cap",
     "hi": "डॉ प्रो सं पृ रु श्रीमती कु",
@@ -47,6 +47,8 @@ MAY_END = set("etc inc ltd co corp llc plc jr sr. a.m p.m am pm usw u.s.w ff f u
 _NEVER = {w for words in NEVER_END.values() for w in words.split()} - MAY_END
 # Nouns that take a letter as their label, so that the letter is no initial.
 LABELLED = set("plan version option appendix phase type class group part team level case variant table annex exhibit model schedule step tier plans plan, option, variante version, klasse teil fall план вариант часть класс".split())
+# Small letters that stand for a word, as in z. B., d. h., p. ej. and т. е.
+_LETTERS = set("zudsoivmpcnfтекчнпс")
 _MONTHS = "januar februar märz april mai juni juli august september oktober november dezember jänner jan feb apr jun jul aug sep sept okt nov dez".split()
 _MONTH = re.compile(rf"\s+(?:{'|'.join(_MONTHS)})\b", re.IGNORECASE)
 _UNSPACED = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\u3005\u0e80-\u0eff\u1000-\u109f\u1780-\u17ff]")
@@ -129,6 +131,8 @@ def _abbreviation(text: str, lo: int, at: int, after: int) -> int:
             return 0
         if _UNSPACED.match(word):
             return 0
+        if word.islower() and low not in _LETTERS:
+            return int(len(before) == 2 and before[1] == "." and before[0].isalpha())
         return 1
     return 0
 

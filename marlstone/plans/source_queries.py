@@ -48,7 +48,7 @@ FN = f"{LINES}, FN AS (SELECT *, last_value(nullif({_FN}, '') IGNORE NULLS) OVER
 
 
 @query(f"WITH {SF} SELECT file_id, length(content) AS n_chars, CAST(length(content) - length(replace(content, chr(10), '')) AS BIGINT) AS breaks FROM SF")
-def src_files_scan(spark, d):  # noqa: ANN001, ANN201
+def src_pages_scan(spark, d):  # noqa: ANN001, ANN201
     return files(spark, d).select("file_id", F.length("content").cast("long").alias("n_chars"), (F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit("")))).cast("long").alias("breaks"))
 
 
@@ -256,7 +256,7 @@ def agg_score_expr(spark, d):  # noqa: ANN001, ANN201
 
 
 @query(r"WITH " + LINES + r""", I AS (SELECT file_id, line_no, regexp_extract(line, 'import\s+[^"]*"([^"]+)"', 1) AS target FROM L WHERE regexp_matches(line, '^\s*import\s')) SELECT file_id, line_no, target, starts_with(target, '.') AS is_local, starts_with(target, '@') AS scoped, nullif(regexp_extract(target, '@([0-9]+\.[0-9]+\.[0-9]+)', 1), '') AS version FROM I""")
-def regexp_extract_imports(spark, d):  # noqa: ANN001, ANN201
+def regexp_extract_urls(spark, d):  # noqa: ANN001, ANN201
     target = F.regexp_extract("line", r'import\s+[^"]*"([^"]+)"', 1)
     rows = solidity_lines(spark, d).filter(F.col("line").rlike(r"^\s*import\s")).select("file_id", "line_no", target.alias("target"))
     return rows.select("file_id", "line_no", "target", F.startswith("target", F.lit(".")).alias("is_local"), F.startswith("target", F.lit("@")).alias("scoped"), F.nullif(F.regexp_extract("target", r"@([0-9]+\.[0-9]+\.[0-9]+)", 1), F.lit("")).alias("version"))

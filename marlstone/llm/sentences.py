@@ -32,7 +32,7 @@ _ENDS = {close: opening for opening, close in PAIRS.items()} | {"“": "„"}
 _OPENING = set(PAIRS) | set("\"'‘`")
 # Abbreviations that never end a sentence, by language, in lower case without the last full stop.
 NEVER_END = {
-    "en": "mr mrs ms dr prof st rev hon gen col capt lt sgt gov sen rep pres no nos fig figs eq eqs sec secs ch chs vol vols app abs art arts para paras ed eds vs cf approx ca pp p pg viz resp incl excl est e.g i.e eg ie al max min tel ext dept univ assn bros messrs mt ft",
+    "en": "mr mrs ms dr prof st rev hon gen col capt lt sgt gov sen rep pres no nos fig figs eq eqs sec secs ch chs vol vols app abs art arts para paras ed eds vs cf approx ca pp p pg viz resp incl excl e.g i.e eg ie al max min tel ext dept univ assn bros messrs mt ft",
     "de": "hr fr dr prof nr nrn abs art bd bzw ca vgl z.b u.a d.h z.t i.d.r o.ä s.o s.u v.a m.e evtl ggf inkl exkl max min mind sog st str tel ing dipl abb kap zzgl abzgl bspw insb gem lt",
     "fr": "m mm mme mlle dr pr me art fig p pp env cf c.-à-d p.ex ex vol chap al éd n no st ste av bd tél réf",
     "es": "sr sra srta sres dr dra d dña prof núm num art arts fig figs pág págs p pp ej p.ej vol cap ed ee aprox av avda tel ud uds admón",
@@ -44,6 +44,8 @@ NEVER_END = {
 }
 # Abbreviations that can end a sentence, which they do before a capital or an uncased letter.
 MAY_END = set("etc inc ltd co corp llc plc jr sr. a.m p.m am pm usw u.s.w ff f uu gmbh ag s.a s.l т.д т.п др г гг руб тыс млн млрд в вв н.э jh esq ph.d b.c a.d".split())
+# Of these, the ones that are words of their own unless a number or a letter follows.
+_NUMBERED = set("no nos nr nrn fig figs eq eqs sec secs ch chs vol vols app abs art arts para paras cap kap abb bd pág págs pag núm num max min p pp pg п пп рис табл ст гл стр".split())
 _NEVER = {w for words in NEVER_END.values() for w in words.split()} - MAY_END
 # Nouns that take a letter as their label, so that the letter is no initial.
 LABELLED = set("plan version option appendix phase type class group part team level case variant table annex exhibit model schedule step tier plans plan, option, variante version, klasse teil fall план вариант часть класс".split())
@@ -115,6 +117,8 @@ def _abbreviation(text: str, lo: int, at: int, after: int) -> int:
     low = word.lower()
     if low in MAY_END:
         return 2
+    if low in _NUMBERED:
+        return int(text[after].isdigit() or (text[after].isupper() and not text[after + 1 : after + 2].isalnum()) or len(low) == 1)
     if low in _NEVER:
         return 1
     if low.isdigit() and len(low) <= 2 and _MONTH.match(text, at + 1):

@@ -5,7 +5,7 @@ import pytest
 from marlstone.llm.sentences import sentence_units, split_sentences
 
 CASES = {
-    "en": ["Dr. Vell and Prof. Ostrander signed.", "It cost U.S. users 317.60 ether, i.e. less than 5%.", "They checked caps, roles, etc.", "Wait... f() is public!", "He wrote: \"This is wrong. Stop it!\"", "Is it ever reset?!", "\"Why twice?\" asked the auditor.", "The note (see App. B. It is short.) lists 3.", "doIt() is reached at 9 a.m. on p. 3 ff. of it.", "J. Marrow agreed.", "Plan A beats plan B.", "Docs live at https://a.example/v1.0/x?id=3 for now.", "See Fig. 3 and No. 4.", "Use msg.sender, not tx.origin, in A.sol.", "It was sold to Tallow Inc.", "Version v2.1. was a typo.", "The log says waiting ... and then nothing."],
+    "en": ["Dr. Vell and Prof. Ostrander signed.", "It cost U.S. users 317.60 ether, i.e. less than 5%.", "They checked caps, roles, etc.", "Wait... f() is public!", "He wrote: \"This is wrong. Stop it!\"", "Is it ever reset?!", "\"Why twice?\" asked the auditor.", "The note (see App. B. It is short.) lists 3.", "doIt() is reached at 9 a.m. on p. 3 ff. of it.", "J. Marrow agreed.", "Plan A beats plan B.", "Docs live at https://a.example/v1.0/x?id=3 for now.", "See Fig. 3 and No. 4.", "It is capped by cap.", "He said no.", "See App. B for more.", "Use msg.sender, not tx.origin, in A.sol.", "It was sold to Tallow Inc.", "Version v2.1. was a typo.", "The log says waiting ... and then nothing."],
     "de": ["Am 7. Mai 2025 fiel es auf 41,24.", "Wir fanden 5 Stellen, u. a. den Zugriff auf x.", "Nr. 594 betrifft A, z. B. in b().", "Sie schrieb: „Das ist falsch. Halt!“", "Hr. Dr. Falkner sah d. h. nichts."],
     "fr": ["L'auditeur note : « C'est faux. Il faut arrêter. »", "Pourquoi f() renvoie-t-elle 0 ?", "Voir l'art. 5 et la fig. 8.", "D'après M. Vellard, c'est env. 5,7."],
     "es": ["¿Por qué devuelve 0?", "¡No publiquen!", "La Sra. Velasco midió 3, p. ej. después.", "Cobra a usuarios de EE. UU. y a otros."],

@@ -17,6 +17,7 @@ from marlstone.sources.files import excluded, glob_pattern
 from marlstone.sources.tables import table
 
 QUERIES: dict = {}
+MOST_PACKAGES = 1000
 SQL: dict[str, str] = {}
 
 
@@ -211,16 +212,22 @@ def asof_enclosing(spark, d):  # noqa: ANN001, ANN201
 
 @query("WITH P AS (SELECT DISTINCT package FROM vendor_releases), I AS (SELECT DISTINCT import_id, path FROM file_imports) SELECT import_id, package FROM I JOIN P ON contains(path, package)")
 def theta_contains(spark, d):  # noqa: ANN001, ANN201
-    packages = table(spark, d, "vendor_releases").select("package").distinct()
-    return table(spark, d, "file_imports").select("import_id", "path").distinct().join(packages, F.contains(F.col("path"), F.col("package"))).select("import_id", "package")
+    """The packages become literals of one projection, so nothing is joined; their number is checked."""
+    packages = [r[0] for r in table(spark, d, "vendor_releases").select("package").filter("package is not null").distinct().limit(MOST_PACKAGES + 1).collect()]
+    if len(packages) > MOST_PACKAGES:
+        raise ValueError(f"more than {MOST_PACKAGES} packages")
+    found = F.filter(F.array(*map(F.lit, sorted(packages))), lambda p: F.contains(F.col("path"), p))
+    return table(spark, d, "file_imports").select("import_id", "path").distinct().select("import_id", F.explode(found).alias("package"))
 
 
-@query(f"WITH {SF}, I AS (SELECT DISTINCT import_id, file_id, path FROM file_imports), N AS (SELECT file_id, repo, name FROM SF WHERE name IS NOT NULL AND path LIKE '%.sol') SELECT DISTINCT a.file_id AS importer, n.file_id AS imported FROM I i JOIN SF a ON a.file_id = i.file_id JOIN N n ON n.repo = a.repo AND n.file_id <> a.file_id AND contains(i.path, n.name)")
+@query(f"WITH {SF}, I AS (SELECT DISTINCT file_id, unnest(regexp_extract_all(path, '[A-Za-z0-9_]+')) AS word FROM file_imports), N AS (SELECT file_id, repo, regexp_replace(name, '[0-9]+$', '') AS name FROM SF WHERE name IS NOT NULL AND path LIKE '%.sol') SELECT DISTINCT a.file_id AS importer, n.file_id AS imported FROM I i JOIN SF a ON a.file_id = i.file_id JOIN N n ON n.repo = a.repo AND n.file_id <> a.file_id AND i.word = n.name")
 def theta_selfjoin(spark, d):  # noqa: ANN001, ANN201
+    """Importing and imported files of a repository: the words of the import path are held against
+    names without their running numbers, which makes the test an equality."""
     own = files(spark, d).select("file_id", "repo", "name", "path")
-    imports = table(spark, d, "file_imports").select("import_id", "file_id", F.col("path").alias("target")).distinct().join(own.select(F.col("file_id"), "repo"), "file_id")
-    named = own.filter(F.col("name").isNotNull() & F.col("path").endswith(".sol")).select(F.col("file_id").alias("imported"), "repo", "name")
-    return imports.join(named, "repo").filter(F.contains(F.col("target"), F.col("name")) & (F.col("file_id") != F.col("imported"))).select(F.col("file_id").alias("importer"), "imported").distinct()
+    words = table(spark, d, "file_imports").select("file_id", F.explode(F.regexp_extract_all("path", F.lit("[A-Za-z0-9_]+"), F.lit(0))).alias("name")).distinct()
+    named = own.filter(F.col("name").isNotNull() & F.col("path").endswith(".sol")).select(F.col("file_id").alias("imported"), "repo", F.regexp_replace("name", "[0-9]+$", "").alias("name"))
+    return words.join(own.select("file_id", "repo"), "file_id").join(named, ["repo", "name"]).filter(F.col("file_id") != F.col("imported")).select(F.col("file_id").alias("importer"), "imported").distinct()
 
 
 _STEPS = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(file_path, '^\s+|\s+$', '', 'g'), '\\', '/', 'g'), '/+', '/', 'g'), '^(\./)+', ''), '(/\.)+(/|$)', '\2', 'g'), '(^|/)[^/.][^/]*/\.\.(/|$)', '\1', 'g'), '(^|/)[^/.][^/]*/\.\.(/|$)', '\1', 'g')"

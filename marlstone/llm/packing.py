@@ -23,6 +23,7 @@ from marlstone.session import cut
 BUCKETS = 128
 _RESOLUTION = 2048
 _MAX_PACKS = 1000
+_MAX_CAPACITY = 4_000_000
 _ROWS_A_SALT = 50_000
 
 
@@ -122,12 +123,14 @@ def pack_documents(documents: DataFrame, pack_sizes: DataFrame, key: str = "doc_
     A document of up to capacity_tokens tokens lies whole in one container (part_no 0); a longer one fills containers of its
     own, and its rest is an item like any other. Null and empty texts are items of 0 tokens. Repeated rows count once. Packs
     whose name or capacity is null or whose capacity is below 1 are left out; empty tables give no rows. The packs become
-    literals of the plan, so their number is checked (at most 1000).
+    literals of the plan, so their number is checked (at most 1000), as is their capacity (at most four million).
     """
     spark = documents.sparkSession
     rows = pack_sizes.select("pack_name", F.col("capacity_tokens").cast("long").alias("capacity")).filter("pack_name is not null and capacity >= 1").groupBy("pack_name").agg(F.max("capacity").alias("capacity")).limit(_MAX_PACKS + 1).collect()
     if len(rows) > _MAX_PACKS:
         raise ValueError(f"more than {_MAX_PACKS} container sizes")
+    if any(r.capacity > _MAX_CAPACITY for r in rows):
+        raise ValueError(f"a capacity beyond {_MAX_CAPACITY} tokens")  # the histogram has one bin for each size
     if not rows:
         return spark.createDataFrame([], f"pack_name string, container_id bigint, {key} bigint, part_no int, first_token bigint, n_tokens bigint")
     counts = cut(token_counts(documents, key, text, tokenizer))

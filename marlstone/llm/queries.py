@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from marlstone.llm.families import file_families, import_origins, not_hand_written
 from marlstone.llm.leaks import leaked_items
 from marlstone.llm.packing import container_fill, pack_documents
-from marlstone.llm.representative import best_records
+from marlstone.llm.representative import STAND_INS, best_records
 from marlstone.llm.sentences import split_sentences
 from marlstone.llm.syntax import invalid_rates, parse_reports, scans_of_invalid
 from marlstone.llm.top_n import top_findings
@@ -97,7 +97,22 @@ f AS (SELECT finding_id, {_PATH.format("file_path")} AS file, cvss_score FROM cu
 SELECT file, finding_id, cvss_score, CAST(row_number() OVER (PARTITION BY file ORDER BY cvss_score DESC, finding_id) AS INTEGER) AS rank_no FROM f
 QUALIFY rank_no <= """
 
+_STAND_INS = ", ".join("'" + x + "'" for x in STAND_INS)
+_USABLE = f"lower(regexp_replace({{0}}, '^\\s+|\\s+$', '', 'g')) NOT IN ({_STAND_INS})"
+_BARE = r"regexp_replace({0}, '^(\s|\.{{2,}}|…)+|(\s|\.{{2,}}|…)+$', '', 'g')"
+_PICK = "SELECT grp, vuln_id FROM {0} QUALIFY row_number() OVER (PARTITION BY grp ORDER BY trust DESC, scan_timestamp DESC, vuln_id) = 1"
+_WHOLE = "SELECT * FROM {0} a WHERE NOT EXISTS (SELECT 1 FROM {0} b WHERE b.grp = a.grp AND length(b.bare) > length(a.bare) AND starts_with(b.bare, a.bare))"
+
 SQL: dict[str, str] = {
+    "p4_found": f"""WITH E AS (SELECT DISTINCT ON (entry_id) * FROM cache_entries),
+R AS (SELECT DISTINCT ON (v.vuln_id) ({_PATH.format("file_path")}) || '|' || v.category || '|' || regexp_replace(v.code_snippet, '\\s+', '', 'g') AS grp, v.vuln_id AS vuln_id, v.title AS title, v.line_number AS line, v.confidence AS confidence, v.recommendation AS recommendation, scan_timestamp, coalesce(trust, -2147483648) AS trust
+  FROM E CROSS JOIN unnest(vulnerabilities) AS t(v) LEFT JOIN scan_origins USING (origin)),
+G AS (SELECT grp, min(vuln_id) AS group_vuln_id FROM R GROUP BY grp HAVING count(*) > 1),
+T0 AS (SELECT *, {_BARE.format("title")} AS bare FROM R WHERE title IS NOT NULL AND {_USABLE.format("title")}), T1 AS ({_WHOLE.format("T0")}), T AS ({_PICK.format("T1")}),
+L1 AS (SELECT * FROM R WHERE line >= 1), L AS ({_PICK.format("L1")}), C1 AS (SELECT * FROM R WHERE confidence IS NOT NULL AND {_USABLE.format("confidence")}), C AS ({_PICK.format("C1")}),
+X0 AS (SELECT *, {_BARE.format("recommendation")} AS bare FROM R WHERE recommendation IS NOT NULL AND {_USABLE.format("recommendation")}), X1 AS ({_WHOLE.format("X0")}), X AS ({_PICK.format("X1")})
+SELECT group_vuln_id, coalesce(T.vuln_id, 0) AS title_vuln_id, coalesce(L.vuln_id, 0) AS line_vuln_id, coalesce(C.vuln_id, 0) AS confidence_vuln_id, coalesce(X.vuln_id, 0) AS recommendation_vuln_id
+FROM G LEFT JOIN T USING (grp) LEFT JOIN L USING (grp) LEFT JOIN C USING (grp) LEFT JOIN X USING (grp)""",
     "p5_found": f"SELECT finding_id, rank_no FROM ({_TOP} 3)",
     "p5_top_ten": f"SELECT finding_id, file, cvss_score, rank_no FROM ({_TOP} 10)",
 }

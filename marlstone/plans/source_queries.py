@@ -15,6 +15,7 @@ from marlstone.operators.taint import fold_taint as taint_fold
 from marlstone.plans.finding_queries import CUTOFF
 from marlstone.sources.files import excluded, glob_pattern
 from marlstone.sources.tables import table
+from marlstone.streaming.watch import counts_of_stream
 
 QUERIES: dict = {}
 MOST_PACKAGES = 1000
@@ -333,6 +334,12 @@ def best_match_greedy(spark, d):  # noqa: ANN001, ANN201
     return fd.best_matches(_tool_rows(spark, d, "ast_engine"), _tool_rows(spark, d, "regex_rules"), "file")
 
 
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_event_counts(spark, d):  # noqa: ANN001, ANN201
+    """The events as a stream, worked off once; the result has one row for each hour and type."""
+    return counts_of_stream(spark, d, "events.parquet")
+
+
 @query(f"WITH {SF} SELECT file_id, {', '.join(f'CAST(len(regexp_extract_all(content, {r.pattern!r})) AS INTEGER) AS {r.rule_id.lower()}' for r in NEUTRAL[:4])} FROM SF WHERE content IS NOT NULL".replace("\\\\", "\\"))
 def multi_count(spark, d):  # noqa: ANN001, ANN201
     return files(spark, d).filter("content is not null").select("file_id", *(F.regexp_count("content", F.lit(r.pattern)).alias(r.rule_id.lower()) for r in NEUTRAL[:4]))

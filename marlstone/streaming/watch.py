@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,3 +35,14 @@ def event_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minu
     """``start, event_type, n``: tumbling counts of a stream of events with a watermark for late rows."""
     grouped = events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type")
     return grouped.agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
+def counts_of_stream(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    """Hourly counts of all events that lie in the directory, read as a stream and worked off once."""
+    events = spark.readStream.schema(EVENTS).option("pathGlobFilter", name).parquet(directory).withColumn("ts", F.col("ts").cast("timestamp"))
+    view = f"counts_{uuid.uuid4().hex}"
+    event_counts(events).writeStream.format("memory").queryName(view).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(view).withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -5,9 +5,10 @@ A finding has at least key, line_no, category, severity, rank and seq, the place
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -55,28 +56,50 @@ def dedup_adjacent(findings: DataFrame, key: str) -> DataFrame:
 def greedy_merge(rows: Sequence[tuple[int, str, int, int]], window: int) -> list[int]:
     """The seq of the rows (seq, group, line, rank) that stay: a row within ``window`` lines of a kept one of its group goes
     unless it ranks higher, in which case it takes that one's place."""
-    kept: list[tuple[int, str, int, int]] = []
+    kept: dict[str, list[tuple[int, str, int, int]]] = {}
     for row in sorted(rows):
-        for k, other in enumerate(kept):
-            if other[1] == row[1] and abs(other[2] - row[2]) <= window:
+        own = kept.setdefault(row[1], [])
+        for k, other in enumerate(own):
+            if abs(other[2] - row[2]) <= window:
                 if row[3] > other[3]:
-                    kept[k] = row
+                    own[k] = row
                 break
         else:
-            kept.append(row)
-    return sorted(r[0] for r in kept)
+            own.append(row)
+    return sorted(r[0] for own in kept.values() for r in own)
 
 
 def dedup_greedy(findings: DataFrame, key: str, window: int = 30) -> DataFrame:
-    """Order-dependent merge of findings of one category within ``window`` lines; not transitive, so it is a fold over the
-    findings of one file, which the size cap of a file bounds."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        stay = greedy_merge(list(zip(pdf["seq"], pdf["category"], pdf["line_no"], pdf["rank"], strict=True)), window)
-        return pdf[pdf["seq"].isin(stay)]
-
+    """``key, seq, category, line_no, rank`` after the order-dependent merge of findings of one category within ``window``
+    lines. It is not transitive, so it is a fold over the findings of one file, which the size cap of a file bounds: the rows
+    are brought together by key and sorted, and the fold runs over whole partitions."""
     rows = findings.select(key, "seq", "category", "line_no", "rank")
-    return rows.groupBy(key).applyInPandas(fold, rows.schema)
+    names = rows.columns
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, held = None, []
+
+        def close() -> list[tuple]:
+            stay = set(greedy_merge([r[1:] for r in held], window))
+            return [r for r in held if r[1] in stay]
+
+        def batch_of(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [[]] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+        schema = None
+        for batch in batches:
+            schema, out = batch.schema, []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != open_key:
+                    out += close()
+                    open_key, held = row[0], []
+                held.append(row)
+            yield batch_of(out, schema)
+        if schema is not None:
+            yield batch_of(close(), schema)
+
+    return rows.repartition(key).sortWithinPartitions(key, "seq").mapInArrow(fold, rows.schema)
 
 
 def drop_covered(findings: DataFrame, key: str, general: Column) -> DataFrame:

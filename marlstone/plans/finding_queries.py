@@ -53,9 +53,11 @@ _SCORES = {"Amounts": 8.2, "Calls": 10.0, "Files": 2.2, "Guards": 4.2}
 SCORES = "S(category, score) AS (VALUES " + ", ".join(f"('{c}', {s}::DOUBLE)" for c, s in _SCORES.items()) + ")"
 
 
-def scored(spark: SparkSession, d: str) -> DataFrame:
+def scored(spark: SparkSession, d: str, ordered: bool = True) -> DataFrame:
+    """Hits with their category's dimension; without seq, and so without a shuffle, unless ``ordered``."""
     dim = categories_frame(spark).withColumn("score", cvss_base_score(F.col("cvss_vector")))
-    return hits(spark, d).join(F.broadcast(dim), "category", "left")
+    rows = hits(spark, d) if ordered else scan_lines(lines(spark, d), "doc_id")
+    return rows.join(F.broadcast(dim), "category", "left")
 
 
 @query(f"WITH {LINES} SELECT doc_id, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM L GROUP BY doc_id")
@@ -75,7 +77,7 @@ def theta_rule_line(spark, d):  # noqa: ANN001, ANN201
 
 @query(f"WITH {HITS}, {DIM} SELECT doc_id, line_no, rule_id, weakness_id FROM H LEFT JOIN D USING (category)")
 def enrich_swc(spark, d):  # noqa: ANN001, ANN201
-    return scored(spark, d).select("doc_id", "line_no", "rule_id", "weakness_id")
+    return scored(spark, d, ordered=False).select("doc_id", "line_no", "rule_id", "weakness_id")
 
 
 @query(f"WITH {HITS}, {SCORES} SELECT doc_id, seq, category, score FROM H LEFT JOIN S USING (category)")
@@ -108,7 +110,7 @@ def multiline_match(spark, d):  # noqa: ANN001, ANN201
 
 @query(f"WITH {HITS}, G AS (SELECT DISTINCT doc_id, category, line_no FROM H WHERE rule_no < 4), N AS (SELECT * FROM H WHERE rule_no >= 4) SELECT doc_id, line_no, rule_id FROM N WHERE NOT EXISTS (SELECT 1 FROM G WHERE G.doc_id = N.doc_id AND G.category = N.category AND abs(G.line_no - N.line_no) <= 3)")
 def anti_band_3(spark, d):  # noqa: ANN001, ANN201
-    h = hits(spark, d)
+    h = scan_lines(lines(spark, d), "doc_id")
     return fd.drop_near(h.filter("rule_no >= 4"), h.filter("rule_no < 4"), "doc_id").select("doc_id", "line_no", "rule_id")
 
 
@@ -126,7 +128,7 @@ def fingerprint(spark, d):  # noqa: ANN001, ANN201
 def anti_baseline(spark, d):  # noqa: ANN001, ANN201
     old = table(spark, d, "documents").filter(F.col("ingested_at") < F.lit(CUTOFF).cast("timestamp_ntz"))
     known = scan_lines(split_lines(old, "doc_id", "text"), "doc_id").select("rule_id", "line").distinct()
-    return hits(spark, d).join(known, ["rule_id", "line"], "left_anti").select("doc_id", "line_no", "rule_id")
+    return scan_lines(lines(spark, d), "doc_id").join(known, ["rule_id", "line"], "left_anti").select("doc_id", "line_no", "rule_id")
 
 
 @query(f"WITH {HITS}, X AS (SELECT DISTINCT doc_id, category FROM H WHERE rank > 1) SELECT doc_id, seq FROM H WHERE rank > 1 OR NOT EXISTS (SELECT 1 FROM X WHERE X.doc_id = H.doc_id AND X.category = H.category)")
@@ -170,7 +172,7 @@ def agg_risk_score(spark, d):  # noqa: ANN001, ANN201
 @query(f"WITH {HITS}, {SCORES} SELECT count(*) AS total, round(avg(score), 6) AS mean_score, CASE WHEN avg(score) >= 7 THEN 'high' WHEN avg(score) >= 4 THEN 'medium' ELSE 'low' END AS rating, count(*) FILTER (severity = 'Critical') AS critical, count(*) FILTER (severity = 'High') AS high FROM H LEFT JOIN S USING (category)")
 def exec_summary(spark, d):  # noqa: ANN001, ANN201
     mean = F.avg("score")
-    return scored(spark, d).agg(F.count(F.lit(1)).alias("total"), F.round(mean, 6).alias("mean_score"), F.when(mean >= 7, "high").when(mean >= 4, "medium").otherwise("low").alias("rating"), F.count_if(F.col("severity") == "Critical").alias("critical"), F.count_if(F.col("severity") == "High").alias("high"))
+    return scored(spark, d, ordered=False).agg(F.count(F.lit(1)).alias("total"), F.round(mean, 6).alias("mean_score"), F.when(mean >= 7, "high").when(mean >= 4, "medium").otherwise("low").alias("rating"), F.count_if(F.col("severity") == "Critical").alias("critical"), F.count_if(F.col("severity") == "High").alias("high"))
 
 
 _TOP = "score DESC NULLS LAST, rank DESC, doc_id, seq"
@@ -194,7 +196,7 @@ def case_priority(spark, d):  # noqa: ANN001, ANN201
 
 @query(f"WITH {HITS}, {SCORES} SELECT category, round(score * 0.9, 6) AS weighted, count(*) AS n FROM H LEFT JOIN S USING (category) GROUP BY ALL ORDER BY weighted DESC")
 def sort_priority(spark, d):  # noqa: ANN001, ANN201
-    return scored(spark, d).groupBy("category", F.round(F.col("score") * 0.9, 6).alias("weighted")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("weighted").desc_nulls_last())
+    return scored(spark, d, ordered=False).groupBy("category", F.round(F.col("score") * 0.9, 6).alias("weighted")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("weighted").desc_nulls_last())
 
 
 @query(f"WITH {HITS}, N AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS k FROM H WHERE rank >= 3) SELECT doc_id, max(rank) AS worst, string_agg(k || '. ' || rule_id || ' at ' || line_no, chr(10) ORDER BY k) AS listed FROM N GROUP BY doc_id")
@@ -307,7 +309,7 @@ def filter_comment_lines(spark, d):  # noqa: ANN001, ANN201
 
 @query(f"WITH {HITS}, {SCORES}, T AS (SELECT doc_id, max(score) AS worst, count(*) FILTER (rank >= 3) AS heavy, count(*) AS n FROM H LEFT JOIN S USING (category) GROUP BY doc_id) SELECT doc_id, CASE WHEN heavy >= 3 AND worst >= 9 THEN 'severe' WHEN heavy >= 1 THEN 'raised' ELSE 'normal' END AS tier, CAST(greatest(0, least(100, 50 + 5 * (n - heavy) - 10 * heavy)) AS BIGINT) AS score FROM T")
 def agg_risk_tier(spark, d):  # noqa: ANN001, ANN201
-    t = scored(spark, d).groupBy("doc_id").agg(F.max("score").alias("worst"), F.count_if(F.col("rank") >= 3).alias("heavy"), F.count(F.lit(1)).alias("n"))
+    t = scored(spark, d, ordered=False).groupBy("doc_id").agg(F.max("score").alias("worst"), F.count_if(F.col("rank") >= 3).alias("heavy"), F.count(F.lit(1)).alias("n"))
     tier = F.when((F.col("heavy") >= 3) & (F.col("worst") >= 9), "severe").when(F.col("heavy") >= 1, "raised").otherwise("normal")
     return t.select("doc_id", tier.alias("tier"), F.greatest(F.lit(0), F.least(F.lit(100), 50 + 5 * (F.col("n") - F.col("heavy")) - 10 * F.col("heavy"))).alias("score"))
 

@@ -77,14 +77,14 @@ _VERSION = r"pragma solidity\s+([^;]*)[0-9]+\.([0-9]+)\.([0-9]+)"
 
 
 @query(f"""WITH {SF}, P AS (SELECT file_id, regexp_extract(content, 'pragma solidity\\s+([\\^>=<]*)\\s*0\\.([0-9]+)\\.([0-9]+)', 1) AS op, TRY_CAST(regexp_extract(content, 'pragma solidity\\s+([\\^>=<]*)\\s*0\\.([0-9]+)\\.([0-9]+)', 2) AS INTEGER) AS minor FROM SF WHERE path LIKE '%.sol' AND content IS NOT NULL)
-SELECT file_id, minor, CASE WHEN minor IS NULL THEN 'none' WHEN op = '^' THEN 'caret' WHEN op = '' THEN 'exact' ELSE 'range' END AS kind, CASE WHEN minor IS NULL THEN 'unknown' WHEN minor <= 6 THEN 'old' WHEN minor = 7 THEN 'ageing' ELSE 'current' END AS age FROM P""")
+SELECT file_id, coalesce(minor, -1) AS minor, CASE WHEN minor IS NULL THEN 'none' WHEN op = '^' THEN 'caret' WHEN op = '' THEN 'exact' ELSE 'range' END AS kind, CASE WHEN minor IS NULL THEN 'unknown' WHEN minor <= 6 THEN 'old' WHEN minor = 7 THEN 'ageing' ELSE 'current' END AS age FROM P""")
 def version_buckets(spark, d):  # noqa: ANN001, ANN201
     pattern = r"pragma solidity\s+([\^>=<]*)\s*0\.([0-9]+)\.([0-9]+)"
     op, minor = F.regexp_extract("content", pattern, 1), F.expr("try_cast(_m as int)")
     rows = files(spark, d).filter(F.col("path").endswith(".sol") & F.col("content").isNotNull()).select("file_id", op.alias("op"), F.regexp_extract("content", pattern, 2).alias("_m")).withColumn("minor", minor)
     kind = F.when(F.col("minor").isNull(), "none").when(F.col("op") == "^", "caret").when(F.col("op") == "", "exact").otherwise("range")
     age = F.when(F.col("minor").isNull(), "unknown").when(F.col("minor") <= 6, "old").when(F.col("minor") == 7, "ageing").otherwise("current")
-    return rows.select("file_id", "minor", kind.alias("kind"), age.alias("age"))
+    return rows.select("file_id", F.coalesce("minor", F.lit(-1)).alias("minor"), kind.alias("kind"), age.alias("age"))
 
 
 @query(f"""WITH {SF} SELECT file_id, CASE WHEN content IS NULL THEN 'unread' WHEN contains(content, 'delegatecall') THEN 'proxy' WHEN regexp_matches(content, 'function (swap|quote)') THEN 'exchange' WHEN regexp_matches(content, 'function (borrow|repay|liquidate)') THEN 'lending' WHEN regexp_matches(content, '(^|\\n)library ') THEN 'library' ELSE 'other' END AS kind FROM SF""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from numbers import Integral
 from pathlib import Path
 
 import duckdb
@@ -19,9 +20,10 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
     def plain(v):
         if hasattr(v, "__len__") and not isinstance(v, str):
             return str(list(v))
-        if v is None or v != v:
+        if pd.isna(v):
             return "<null>"
-        return f"{v:.6f}" if isinstance(v, float) else str(v)
+        whole = isinstance(v, Integral) and not isinstance(v, bool)
+        return f"{v:.6f}" if isinstance(v, float) or (whole and abs(v) < 2**53) else str(v)
 
     df = df[sorted(df.columns)]
     return sorted(tuple(map(plain, r)) for r in df.astype(object).itertuples(index=False))

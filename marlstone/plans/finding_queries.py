@@ -124,6 +124,12 @@ def fingerprint(spark, d):  # noqa: ANN001, ANN201
     return h.select("doc_id", "seq", fd.fingerprint(F.col("category"), F.col("rule_id"), F.col("line_no"), F.col("line")).alias("print"))
 
 
+@query()
+def fingerprint_all(spark, d):  # noqa: ANN001, ANN201
+    """Every hit, over the UTF-8 bytes of its line; the SQL of ``fingerprint`` is bound to one rule and to ASCII."""
+    return hits(spark, d).select("doc_id", "seq", fd.fingerprint(F.col("category"), F.col("rule_id"), F.col("line_no"), F.col("line")).alias("print"))
+
+
 @query(f"WITH {HITS}, O AS (SELECT DISTINCT rule_id, line FROM H JOIN documents USING (doc_id) WHERE ingested_at < TIMESTAMP '{CUTOFF}') SELECT doc_id, line_no, rule_id FROM H WHERE NOT EXISTS (SELECT 1 FROM O WHERE O.rule_id = H.rule_id AND O.line = H.line)")
 def anti_baseline(spark, d):  # noqa: ANN001, ANN201
     old = table(spark, d, "documents").filter(F.col("ingested_at") < F.lit(CUTOFF).cast("timestamp_ntz"))

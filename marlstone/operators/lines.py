@@ -6,18 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Texts beyond this many characters give no lines, as they would be one task's work each.
-SIZE_CAP = 10 * 1024 * 1024
-
 
 def split_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, line_no`` (from 1), ``line``: lines end at LF or CRLF; a final line break opens no further line.
 
-    Null and empty texts have no lines.
+    Null and empty texts have no lines; a text of any length has all of its own.
     """
     parts = F.split(F.regexp_replace(F.col(text), "\r\n", "\n"), "\n", -1)
     kept = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    rows = df.filter(F.col(text).isNotNull() & (F.length(text) <= SIZE_CAP)).select(key, F.posexplode(kept).alias("pos", "line"))
+    rows = df.filter(F.col(text).isNotNull()).select(key, F.posexplode(kept).alias("pos", "line"))
     return rows.select(key, (F.col("pos") + 1).alias("line_no"), "line")
 
 

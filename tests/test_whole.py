@@ -6,6 +6,9 @@ import re
 
 import pyarrow.parquet as pq
 
+from pyspark.sql import functions as F
+
+from marlstone.operators.lines import split_lines
 from marlstone.operators.rules import NEUTRAL
 from marlstone.plans import queries as core
 
@@ -29,3 +32,10 @@ def test_multi_count_of_all_rules(spark, data):
     contents = {r["file_id"]: r["content"] for r in pq.read_table(f"{data}/source_files.parquet", columns=["file_id", "content"]).to_pylist() if r["content"] is not None}
     got = {r.file_id: tuple(r)[1:] for r in core.QUERIES["multi_count_all"](spark, data).collect()}
     assert got == {k: tuple(len(re.findall(r.pattern, c)) for r in NEUTRAL) for k, c in contents.items()}
+
+
+def test_lines_of_a_long_text(spark):
+    n = 110_000
+    text = F.concat(F.repeat(F.concat(F.repeat(F.lit("x"), 99), F.lit("\n")), n), F.lit("end"))
+    got = split_lines(spark.range(1).select("id", text.alias("t")), "id", "t").agg(F.count(F.lit(1)), F.max("line_no"), F.sum(F.length("line"))).first()
+    assert tuple(got) == (n + 1, n + 1, 99 * n + 3)

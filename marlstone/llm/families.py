@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from marlstone.operators.components import connected_components
 from marlstone.session import cut
@@ -38,6 +37,8 @@ FAMILY_SHARE, FAMILY_SIZE = 0.6, 3
 COPY_SHARE = 0.6
 #: Similarity of masked shingles within a family from which a file's text is held against a release.
 SUSPECT = 0.6
+#: Classes of a bucket that meet in one block, columns of shingles counted at a time, and shingles that are sent as a vocabulary.
+BLOCK, COLUMNS, VOCABULARY = 1024, 4096, 1_000_000
 
 _TOKEN = re.compile(r"/\*(?:[^*]|\*(?!/))*\*/|//[^\n]*|\"\"\"(?:[^\"]|\"(?!\"\"))*\"\"\"|'''(?:[^']|'(?!''))*'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|0[xX][0-9a-fA-F]+|\d[\w.]*|[^\W\d]\w*|[^\s\w]", re.DOTALL)
 _HASH_COMMENT = re.compile(r"(?m)(?:^|(?<=\s))#[^\n]*")
@@ -164,22 +165,82 @@ def file_traits(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, _SCHEMA)
 
 
-def class_links(classes: DataFrame) -> DataFrame:
-    """``a, b``: verified links between classes that share a band.
-
-    In every bucket each class is compared with the bucket's leader and with its neighbour, both in an order that differs from
-    band to band, and with the first released class; so the work is three comparisons for each member of a bucket, never all
-    pairs, and a family is found through the links that span it. ``classes`` has class, shingles, bands and released.
+def _coded(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Rows (class, bands, shingles) with the sorted set as bytes: numbers in the vocabulary, or the hashes themselves."""
+    for batch in batches:
+        sets = (np.sort(np.array(x, np.int64)) for x in batch.column(2).to_pylist())
+        coded = [(x if vocabulary is None else np.searchsorted(vocabulary, x).astype(np.uint16 if len(vocabulary) <= 2**16 else np.uint32)).tobytes() for x in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(coded, pa.binary())], names=["class", "bands", "set"])
+
+
+def _spanning(names: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Links of a spanning forest over all pairs of the sets that are similar enough; every pair is compared."""
+    sizes = np.array([len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = times > 1  # what a single set holds adds to no pair
+    place = np.cumsum(shared) - 1
+    row, column = row[shared[column]], place[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(shared.sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+        part = np.zeros((len(sets), min(COLUMNS, int(shared.sum()) - at)), np.float32)
+        part[row[lo:hi], column[lo:hi] - at] = 1
+        common += part @ part.T
+    fresh = np.ones(len(sets), bool)
+    for first in range(len(sets)):
+        if not fresh[first]:
+            continue
+        fresh[first], todo = False, [first]
+        while todo:
+            k = todo.pop()
+            near = np.flatnonzero(fresh & (common[k] / (sizes + sizes[k] - common[k].astype(np.float64)) >= SIMILARITY))
+            fresh[near] = False
+            for j in near.tolist():
+                todo.append(j)
+                yield names[k], names[j]
+
+
+def class_links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``a, b``: verified links between classes that share a band, as many as span every family.
+
+    In every bucket all pairs are compared, exactly, on sets that travel as numbers in the vocabulary of all shingles (as
+    hashes where that is larger than VOCABULARY). A bucket of more than ``block`` classes is split into blocks of about that
+    many, and every two blocks meet in a group of their own, so memory is bounded and no pair is left out. Of the links of a
+    group only a spanning forest is kept. ``classes`` has class, shingles, bands and released.
     """
-    sets = classes.select("class", "shingles")
-    buckets = classes.select("class", "released", F.posexplode("bands").alias("band", "value")).withColumn("at", F.xxhash64("class", "band"))
-    order = Window.partitionBy("band", "value").orderBy("at", "class")
-    leaders = buckets.groupBy("band", "value").agg(F.min_by("class", F.struct("at", "class")).alias("lead"), F.min(F.when(F.col("released"), F.col("class"))).alias("known"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    pairs = buckets.join(leaders, ["band", "value"]).withColumn("before", F.lag("class").over(order)).select("class", F.explode(F.array_distinct(F.array("lead", F.coalesce("before", "lead"), F.coalesce("known", "lead")))).alias("other"))
-    distinct = pairs.filter("class <> other").select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
-    common = F.size(F.array_intersect("one", "two"))
-    both = distinct.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("one")), "a").join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("two")), "b")
-    return both.filter(common / (F.size("one") + F.size("two") - common) >= SIMILARITY).select("a", "b")
+    spark = classes.sparkSession
+    found = classes.select(F.explode("shingles").alias("s")).distinct().limit(VOCABULARY + 1).toPandas()["s"].to_numpy(np.int64)
+    sent = spark.sparkContext.broadcast(np.sort(found) if len(found) <= VOCABULARY else None)
+    kind = np.int64 if len(found) > VOCABULARY else np.uint16 if len(found) <= 2**16 else np.uint32
+    coded = classes.select("class", "bands", "shingles").mapInArrow(lambda batches: _coded(batches, sent.value), "class bigint, bands array<bigint>, set binary")
+    keys = ["band", "value"]
+    many = classes.select(F.posexplode("bands").alias(*keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    rows = coded.select("class", "set", F.posexplode("bands").alias(*keys)).join(many, keys).withColumn("own", F.pmod(F.xxhash64("class", "band"), F.col("blocks")))
+    # of several blocks every two meet, which compares the pairs inside of each as well
+    other = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("bigint"))).otherwise(F.expr("filter(sequence(0L, blocks - 1L), x -> x <> own)"))
+    placed = rows.withColumn("other", F.explode(other)).select(*keys, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "class", "set")
+    group = [*keys, "low", "high"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names, sets = None, [], []
+
+        def close() -> pa.RecordBatch:
+            links = list(_spanning(names, sets)) if len(names) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for *key, name, data in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if key != now:
+                    yield close()
+                    now, names, sets = key, [], []
+                names.append(name)
+                sets.append(np.frombuffer(data, kind))
+        yield close()
+
+    return placed.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def file_families(files: DataFrame, releases: DataFrame) -> DataFrame:

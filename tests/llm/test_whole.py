@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 
-from marlstone.llm import families
+from marlstone.llm import families, leaks
 
 
 @pytest.mark.parametrize(("block", "vocabulary"), [(1024, 10**6), (30, 10**6), (1024, 5)])
@@ -20,3 +21,29 @@ def test_links_of_a_mixed_bucket(spark, monkeypatch, block, vocabulary):
         rows += [(2 * k, [*base, 2**62 + k], [7, k], False), (2 * k + 1, [*base, 2**62 - 1 - k], [7, -k - 1], False)]
     df = spark.createDataFrame(rows, "class bigint, shingles array<bigint>, bands array<bigint>, released boolean")
     assert {tuple(r) for r in families.class_links(df, block).collect()} == {(2 * k, 2 * k + 1) for k in range(200)}
+
+
+@pytest.mark.parametrize("runs", [(5, 5, 8), (5, 8, 5), (8, 5, 5), (4, 5, 9), (4, 4, 10)])
+@pytest.mark.parametrize("change", [[], ["one", "two"]])
+def test_changes_of_the_number_of_words(runs, change):
+    """A passage of 20 words of which two are dropped, or replaced by two words each."""
+    words = [f"w{k}x" for k in range(80)]
+    index = leaks.build_index([(1, " ".join(words))], Counter())
+    quoted, at = [], 30
+    for n in runs:
+        quoted += [*words[at : at + n], *change]
+        at += n + 1
+    tokens, begins, *_ = leaks._tokens(["before it " + " ".join(quoted[: len(quoted) - len(change)]) + " behind it"], index)
+    assert list(leaks._matches(index.words, tokens, begins)) == [(0, 0)]
+
+
+def test_changes_of_the_number_of_characters():
+    """A passage of 60 characters of which six are dropped, in runs of 6 and one of 18."""
+    text = "".join(chr(0x4E00 + 7 * k) for k in range(200))
+    index = leaks.build_index([(1, text)], Counter())
+    at, quoted = 40, ""
+    for n in (6, 6, 6, 18, 6, 6, 6):
+        quoted += text[at : at + n]
+        at += n + 1
+    _, _, chars, begins, _ = leaks._tokens(["\u5f00" + quoted + "\u675f"], index)
+    assert list(leaks._matches(index.chars, chars, begins)) == [(0, 0)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,12 +33,12 @@ def call_edges(lines: DataFrame, key: str) -> DataFrame:
     return names.join(declared, [key, "callee"]).filter("caller <> callee").select(key, "caller", "callee")
 
 
-def reach(edges: DataFrame, depth: int = 10) -> DataFrame:
-    """``a, b, hops``: for edges (a, b) all pairs with the fewest hops, up to ``depth``. Rounds stop when none is new."""
+def reach(edges: DataFrame, depth: int | None = 10) -> DataFrame:
+    """``a, b, hops``: for edges (a, b) all pairs with the fewest hops, up to ``depth`` if given. Rounds stop when none is new."""
     step = edges.select("a", "b").filter("a is not null and b is not null").distinct()
     known = step.withColumn("hops", F.lit(1))
     fresh = known
-    for n in range(2, depth + 1):
+    for n in count(2) if depth is None else range(2, depth + 1):
         further = fresh.select("a", F.col("b").alias("m")).join(step.select(F.col("a").alias("m"), "b"), "m").select("a", "b").distinct()
         fresh = cut(further.join(known, ["a", "b"], "left_anti").withColumn("hops", F.lit(n)))
         if fresh.limit(1).count() == 0:
@@ -45,6 +47,15 @@ def reach(edges: DataFrame, depth: int = 10) -> DataFrame:
     return known
 
 
+def bases(files: DataFrame, text: str) -> DataFrame:
+    """``a, b``: every contract or interface of the texts with each base of its list; arguments and qualifiers are left out."""
+    head = r"\b(?:contract|interface)\s+[A-Za-z0-9_$]+\s+is\s+[^{;]+"
+    named = files.select(F.explode(F.regexp_extract_all(text, F.lit(head), F.lit(0))).alias("h"))
+    bare = F.regexp_replace(F.regexp_replace("h", r"(?s)/\*.*?\*/|//[^\n]*", " "), r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)", "")
+    parts = named.select(F.regexp_extract("h", r"^\w+\s+([A-Za-z0-9_$]+)", 1).alias("a"), F.explode(F.split(F.regexp_replace(bare, r"^\w+\s+[A-Za-z0-9_$]+\s+is\s+", ""), ",")).alias("b"))
+    return parts.select("a", F.regexp_extract("b", r"([A-Za-z0-9_$]+)\s*$", 1).alias("b")).filter("b <> ''").distinct()
+
+
 def two_cycles(edges: DataFrame) -> DataFrame:
     """``a, b`` with a < b where both directions are edges."""
     e = edges.select("a", "b").distinct()

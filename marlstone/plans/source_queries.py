@@ -168,7 +168,7 @@ def semi_reachable(spark, d):  # noqa: ANN001, ANN201
     edges = graph.call_edges(lines, "file_id")
     name = lambda c: F.concat_ws("#", F.col("file_id").cast("string"), c)
     opened = lines.withColumn("fn", graph.declared_function(F.col("line"))).filter(F.col("fn").isNotNull() & F.col("line").rlike(r"\b(public|external)\b")).select(name(F.col("fn")).alias("node")).distinct()
-    closure = graph.reach(edges.select(name(F.col("caller")).alias("a"), name(F.col("callee")).alias("b")), 64)
+    closure = graph.reach(edges.select(name(F.col("caller")).alias("a"), name(F.col("callee")).alias("b")), None)
     reached = opened.unionByName(closure.join(opened.withColumnRenamed("node", "a"), "a", "left_semi").select(F.col("b").alias("node"))).distinct()
     rows = graph.function_lines(lines, "file_id").filter(F.col("line").contains(".call{") & F.col("fn").isNotNull())
     return rows.withColumn("node", name(F.col("fn"))).join(reached, "node", "left_semi").select("file_id", "line_no")
@@ -349,3 +349,9 @@ def multi_count(spark, d):  # noqa: ANN001, ANN201
 def multi_count_all(spark, d):  # noqa: ANN001, ANN201
     """Counts of all rules; the SQL of ``multi_count`` is bound to the first four."""
     return files(spark, d).filter("content is not null").select("file_id", *(F.regexp_count("content", F.lit(r.pattern)).alias(r.rule_id.lower()) for r in NEUTRAL))
+
+
+@query()
+def graph_reach_all(spark, d):  # noqa: ANN001, ANN201
+    """Paths over every base of every declaration; the SQL of ``graph_reach`` is bound to the first of each file."""
+    return graph.reach(graph.bases(files(spark, d).filter(F.col("path").endswith(".sol")), "content"), 10)

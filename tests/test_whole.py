@@ -8,6 +8,7 @@ import pyarrow.parquet as pq
 
 from pyspark.sql import functions as F
 
+from marlstone.operators import graph
 from marlstone.operators.lines import split_lines
 from marlstone.operators.rules import NEUTRAL
 from marlstone.plans import queries as core
@@ -39,3 +40,14 @@ def test_lines_of_a_long_text(spark):
     text = F.concat(F.repeat(F.concat(F.repeat(F.lit("x"), 99), F.lit("\n")), n), F.lit("end"))
     got = split_lines(spark.range(1).select("id", text.alias("t")), "id", "t").agg(F.count(F.lit(1)), F.max("line_no"), F.sum(F.length("line"))).first()
     assert tuple(got) == (n + 1, n + 1, 99 * n + 3)
+
+
+def test_every_base_of_every_declaration(spark):
+    text = "contract A is B, lib.C(1, f(2)), /* x, y */ D {\n}\ninterface E is A,\n  F {}\nabstract contract G {}\ncontract H\n is G {}"
+    got = {tuple(r) for r in graph.bases(spark.createDataFrame([(text,)], "content string"), "content").collect()}
+    assert got == {("A", "B"), ("A", "C"), ("A", "D"), ("E", "A"), ("E", "F"), ("H", "G")}
+
+
+def test_reach_without_a_limit(spark):
+    edges = spark.createDataFrame([(f"f{k}", f"f{k + 1}") for k in range(13)], "a string, b string")
+    assert {(r.a, r.b): r.hops for r in graph.reach(edges, None).collect()}["f0", "f13"] == 13

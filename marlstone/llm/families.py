@@ -2,8 +2,10 @@
 
 Every file becomes a set of five-token shingles in which identifiers, numbers and strings are masked. Files with the same set
 form one class; MinHash bands find classes that may resemble each other and the exact similarity (0.8 or more) verifies them.
-The families, together with what their members have in common, separate hand-written text from generated families, literal-
-only blobs, minified scripts and copies of released library files; a check of the single file follows.
+Connected classes are a family, and the family decides: one that holds a released library file is vendored as far as its
+members hold the release's own shingles, one whose members are lists of literals is a blob, one whose members vote that a tool
+wrote or minified them is generated or minified. A file that resembles no other is a family of one. What masking hides from
+the families (layout, opening comments) is looked up in the members that their family does not decide.
 """
 
 from __future__ import annotations
@@ -25,25 +27,25 @@ WIDTH, BANDS, ROWS, SIMILARITY = 5, 20, 5, 0.8
 REPETITION, LITERAL_REPETITION = 5.0, 3.5
 #: Share of strings and numbers among the words of repetitive text; lists of declarations that people write have fewer.
 LITERAL_TOKENS = 0.15
-#: Distinct shingles beyond which repetition comes from length alone.
-VARIETY = 150
+#: Tokens of the stretches over which repetition is counted, so that it does not grow with the length of a file.
+STRETCH = 700
 #: Characters and tokens to the line on average from which code is minified.
 DENSE_LINE, DENSE_TOKENS = 200, 40
 #: Share of the characters that lie in strings and numbers, and the length of one literal, that make a blob.
 LITERAL_SHARE, LONG_LITERAL = 0.7, 200
-#: Of a family of three or more, the share of members that passes its kind on to the rest.
-FAMILY_SHARE, FAMILY_SIZE = 0.6, 3
+#: Share of its members that must vote for a family's kind; less for a family that lies in one repository, where likeness
+#: itself points to a tool, from FAMILY_SIZE members on.
+FAMILY_SHARE, ONE_REPO_SHARE, FAMILY_SIZE = 0.6, 0.3, 3
 #: Share of a release's own token shingles that a copy of it holds.
 COPY_SHARE = 0.6
-#: Similarity of masked shingles within a family from which a file's text is held against a release.
-SUSPECT = 0.6
-#: Classes of a bucket that meet in one block, columns of shingles counted at a time, and shingles that are sent as a vocabulary.
-BLOCK, COLUMNS, VOCABULARY = 1024, 4096, 1_000_000
+#: Classes of a bucket, and shingles in them, that meet in one block; columns of shingles counted at a time.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 1024, 4_000_000, 4096
 
 _TOKEN = re.compile(r"/\*(?:[^*]|\*(?!/))*\*/|//[^\n]*|\"\"\"(?:[^\"]|\"(?!\"\"))*\"\"\"|'''(?:[^']|'(?!''))*'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|0[xX][0-9a-fA-F]+|\d[\w.]*|[^\W\d]\w*|[^\s\w]", re.DOTALL)
 _HASH_COMMENT = re.compile(r"(?m)(?:^|(?<=\s))#[^\n]*")
 # Words of the supported languages that stay as they are under masking.
 _WORDS = frozenset("abstract address as assembly async await bool break bytes catch class const constant constructor continue contract def del delete do elif else emit enum error event except export extends false finally for from function global if import in indexed interface internal is lambda let library mapping memory modifier new not null or and override pass payable pragma private public pure raise receive require return returns revert self static storage string struct super switch this throw true try typeof uint256 unchecked using var view virtual void while with yield None True False".split())
+_LITERAL_WORDS = frozenset(["true", "false", "null", "None", "True", "False"])
 _TOOL = r"(?:tool|script|compiler|generator|template|build step|pipeline|protoc|make|abi|schema|proto|idl|json|wasm|\w*gen\b|\w+ v?\d+\.\d+)"
 # How tools say in an opening comment that they wrote the file.
 _NOTICE = re.compile(
@@ -63,35 +65,78 @@ _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 _POW = np.cumprod(np.full(WIDTH, 0x9E3779B97F4A7C15, dtype=np.uint64))
+_NAMES, _STRINGS, _NUMBERS, _KEPT, _VALUES, _OTHER = range(6)
 
 
-def _tokens(text: str, language: str) -> tuple[list[str], list[str]]:
-    """Masked and plain tokens without comments."""
+class _Words(dict):
+    """Numbers of tokens, given at first sight; of each: hash, hash under its mask, class of token, length."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.rows: list[tuple[int, int, int, int]] = []
+        self.table = np.zeros((4, 0), np.uint64)
+
+    def __missing__(self, t: str) -> int:
+        c = t[0]
+        if c in "\"'`":
+            kind, mask = _STRINGS, "S"
+        elif c.isdigit():
+            kind, mask = _NUMBERS, "N"
+        elif t in _WORDS:
+            kind, mask = (_VALUES if t in _LITERAL_WORDS else _KEPT), t
+        elif c.isalpha() or c == "_":
+            kind, mask = _NAMES, "I"
+        else:
+            kind, mask = _OTHER, t
+        self.rows.append((crc32(t.encode("utf-8", "surrogatepass")), crc32(mask.encode("utf-8", "surrogatepass")), kind, len(t)))
+        self[t] = n = len(self.rows) - 1
+        return n
+
+    def look_up(self, tokens: list[str]) -> np.ndarray:
+        """One column for each token, in the order of the rows."""
+        if len(self.rows) > 500_000:  # only a store of what can be worked out again
+            self.clear()
+            self.rows, self.table = [], np.zeros((4, 0), np.uint64)
+        at = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        if self.table.shape[1] < len(self.rows):
+            fresh = np.array(self.rows[self.table.shape[1] :], np.uint64).T
+            self.table = np.concatenate([self.table, fresh], axis=1)
+        return self.table[:, at]
+
+
+_words = _Words()
+
+
+def _tokens(text: str, language: str) -> np.ndarray:
+    """Columns of the tokens without comments: hash, hash under the mask, class, length."""
     if language == "py":
         text = _HASH_COMMENT.sub("", text)
-    masked, plain = [], []
-    for t in _TOKEN.findall(text):
-        c = t[0]
-        if c == "/" and len(t) > 1:
-            continue
-        plain.append(t)
-        masked.append("S" if c in "\"'`" else "N" if c.isdigit() else t if t in _WORDS or not (c.isalpha() or c == "_") else "I")
-    return masked, plain
+    return _words.look_up([t for t in _TOKEN.findall(text) if t[0] != "/" or len(t) == 1])
 
 
-def _shingles(tokens: list[str]) -> np.ndarray:
-    """Distinct hashes of runs of five tokens; a shorter text is one shingle."""
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    h = np.array([crc32(t.encode("utf-8", "surrogatepass")) for t in tokens], dtype=np.uint64)
+def _runs(h: np.ndarray) -> np.ndarray:
+    """Hashes (32 bits) of the runs of five tokens in their order; a shorter text is one run."""
+    if not len(h):
+        return np.zeros(0, np.uint32)
     if len(h) < WIDTH:
-        return np.array([(h * _POW[: len(h)]).sum(dtype=np.uint64)], dtype=np.uint64)
-    n = len(h) - WIDTH + 1
-    total = np.zeros(n, np.uint64)
-    for k in range(WIDTH):
-        total += h[k : k + n] * _POW[k]
+        total = np.array([(h * _POW[: len(h)]).sum(dtype=np.uint64)], dtype=np.uint64)
+    else:
+        n = len(h) - WIDTH + 1
+        total = np.zeros(n, np.uint64)
+        for k in range(WIDTH):
+            total += h[k : k + n] * _POW[k]
     total ^= total >> np.uint64(31)
-    return np.unique(total)
+    return (total * _POW[1] >> np.uint64(32)).astype(np.uint32)
+
+
+def _shingles(h: np.ndarray) -> np.ndarray:
+    return np.unique(_runs(h))
+
+
+def _repetition(runs: np.ndarray, n: int) -> float:
+    """Tokens for each distinct shingle, counted over equal stretches of at most STRETCH tokens."""
+    parts = max(1, -(-n // STRETCH))
+    return n / max(1, sum(len(np.unique(x)) for x in np.array_split(runs, parts)))
 
 
 def _bands(shingles: np.ndarray) -> list[int]:
@@ -99,7 +144,7 @@ def _bands(shingles: np.ndarray) -> list[int]:
         return []
     low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(shingles), 4096):
-        mixed = shingles[at : at + 4096, None] * _A + _B
+        mixed = (shingles[at : at + 4096, None].astype(np.uint64) + np.uint64(1)) * _A + _B
         low = np.minimum(low, (mixed ^ (mixed >> np.uint64(32))).min(axis=0))
     folded = np.zeros(BANDS, np.uint64)
     for row in low.reshape(BANDS, ROWS).T:
@@ -109,72 +154,66 @@ def _bands(shingles: np.ndarray) -> list[int]:
 
 def notice(text: str) -> bool:
     """Whether the opening comment says that a tool wrote the file."""
-    m = _OPENING.match(text.removeprefix("﻿"))
+    m = _OPENING.match(text.removeprefix("\ufeff"))
     if not m:
         return False
     return any(_NOTICE.search(re.sub(r"^[\s/*#\"!<-]+|[\s*/>\"-]+$", "", line)) for line in m[1].splitlines())
 
 
-def traits(text: str, language: str) -> tuple[np.ndarray, str, float]:
-    """Masked shingles, the kind that the file's own traits show ('' if none), tokens per distinct shingle."""
-    masked, plain = _tokens(text, language)
-    shingles = _shingles(masked)
-    ratio = len(masked) / max(1, len(shingles))
-    dense = sum(map(len, plain))
-    literal = [len(t) for t, m in zip(plain, masked, strict=True) if m in "SN"]
-    words = sum(m in ("S", "N", "I") or m in _WORDS for m in masked)
-    share, longest = sum(literal) / max(1, dense), max(literal, default=0)
+def traits(text: str, language: str) -> tuple[np.ndarray, str, bool]:
+    """Masked shingles, the kind that the file votes for ('' for none), and whether masking hides the ground of the vote."""
+    _, hashes, kinds, lengths = _tokens(text, language)
+    runs = _runs(hashes)
+    shingles, n = np.unique(runs), len(kinds)
+    ratio = _repetition(runs, n)
+    literal = (kinds == _STRINGS) | (kinds == _NUMBERS)
+    dense, literals, words = int(lengths.sum()), int(literal.sum()), int((kinds != _OTHER).sum())
+    share, longest = int(lengths[literal].sum()) / max(1, dense), int(lengths[literal].max(initial=0))
     lines = text.strip().count("\n") + 1
     if notice(text):
-        kind = "generated"
-    elif language == "json":
-        kind = "generated" if len(masked) >= 60 and (ratio >= LITERAL_REPETITION or longest >= LONG_LITERAL) else ""
-    elif (share >= LITERAL_SHARE or len(literal) >= 0.95 * max(1, words)) and (ratio >= LITERAL_REPETITION or longest >= LONG_LITERAL):
-        kind = "table" if any(m in _WORDS and m not in ("true", "false", "null", "None", "True", "False") for m in masked[:40]) else "blob"
-    elif language in _CODE and dense >= 400 and lines * DENSE_LINE <= len(text) and lines * DENSE_TOKENS <= len(masked):
-        kind = "minified"
-    elif len(_FILE_MARK.findall(text)) >= 2 or (language == "sol" and len(re.findall(r"(?m)^[ \t]*pragma solidity\b", text)) >= 2):
-        kind = "generated"
-    elif ratio >= REPETITION and len(masked) >= 100 and len(shingles) <= VARIETY and len(literal) >= LITERAL_TOKENS * words:
-        kind = "generated"
-    else:
-        kind = ""
-    return shingles, kind, ratio
+        return shingles, "generated", True
+    if language == "json":
+        return shingles, "generated" if n >= 60 and (ratio >= LITERAL_REPETITION or longest >= LONG_LITERAL) else "", False
+    if (share >= LITERAL_SHARE or literals >= 0.95 * max(1, words)) and (ratio >= LITERAL_REPETITION or longest >= LONG_LITERAL):
+        return shingles, "table" if (kinds[:40] == _KEPT).any() else "blob", False
+    if language in _CODE and dense >= 400 and lines * DENSE_LINE <= len(text) and lines * DENSE_TOKENS <= n:
+        return shingles, "minified", True
+    if len(_FILE_MARK.findall(text)) >= 2 or (language == "sol" and len(re.findall(r"(?m)^[ \t]*pragma solidity\b", text)) >= 2):
+        return shingles, "generated", True
+    return shingles, "generated" if ratio >= REPETITION and n >= 100 and literals >= LITERAL_TOKENS * words else "", False
+
+
+_SCHEMA = "id bigint, released boolean, repo string, language string, class bigint, shingles binary, n int, bands array<bigint>, vote string, hidden boolean"
+_ARROW = pa.schema([("id", pa.int64()), ("released", pa.bool_()), ("repo", pa.string()), ("language", pa.string()), ("class", pa.int64()), ("shingles", pa.binary()), ("n", pa.int32()), ("bands", pa.list_(pa.int64())), ("vote", pa.string()), ("hidden", pa.bool_())])
 
 
-_SCHEMA = "id bigint, released boolean, repo string, language string, class bigint, shingles array<bigint>, bands array<bigint>, kind string, ratio double"
+def _language(path: str | None) -> str:
+    return (path or "").strip().rpartition(".")[2].lower()
 
 
 def file_traits(rows: DataFrame) -> DataFrame:
-    """For rows (id, released, repo, path, content): the columns of the schema above; ``class`` hashes the set of shingles."""
+    """For rows (id, released, repo, path, content): the columns of the schema above. ``class`` hashes the set of shingles,
+    ``shingles`` holds the sorted set as bytes and ``n`` its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(9)]
+            out: list[list] = [[] for _ in _ARROW]
             for key, released, repo, path, text in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                language = (path or "").strip().rpartition(".")[2].lower()
-                shingles, kind, ratio = traits(text, language)
+                language = _language(path)
+                shingles, vote, hidden = traits(text, language)
+                wide = shingles.astype(np.uint64) + np.uint64(1)
                 # the set itself, not its members alone, names the class
-                name = (int(((shingles * _A[0]) ^ (shingles >> np.uint64(7))).sum(dtype=np.uint64)) * int(_A[1]) + len(shingles)) % 2**63 if len(shingles) else -1
-                for column, value in zip(out, (key, released, repo, language, name, shingles.view(np.int64).tolist(), _bands(shingles), kind, ratio), strict=True):
+                name = (int(((wide * _A[0]) ^ (wide * _B[0] >> np.uint64(7))).sum(dtype=np.uint64)) * int(_A[1]) + len(shingles)) % 2**63 if len(shingles) else -1
+                for column, value in zip(out, (key, released, repo, language, name, shingles.tobytes(), len(shingles), _bands(shingles), vote, hidden), strict=True):
                     column.append(value)
-            kinds = (pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string(), pa.float64())
-            names = ["id", "released", "repo", "language", "class", "shingles", "bands", "kind", "ratio"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _ARROW, strict=True)], schema=_ARROW)
 
     return rows.mapInArrow(run, _SCHEMA)
 
 
-def _coded(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Rows (class, bands, shingles) with the sorted set as bytes: numbers in the vocabulary, or the hashes themselves."""
-    for batch in batches:
-        sets = (np.sort(np.array(x, np.int64)) for x in batch.column(2).to_pylist())
-        coded = [(x if vocabulary is None else np.searchsorted(vocabulary, x).astype(np.uint16 if len(vocabulary) <= 2**16 else np.uint32)).tobytes() for x in sets]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(coded, pa.binary())], names=["class", "bands", "set"])
-
-
 def _spanning(names: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-    """Links of a spanning forest over all pairs of the sets that are similar enough; every pair is compared."""
+    """Links of a spanning forest over all pairs of the sets that are similar enough; every pair is compared. Each family is
+    a star around its smallest name."""
     sizes = np.array([len(x) for x in sets])
     _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(sets)), sizes)
@@ -190,7 +229,7 @@ def _spanning(names: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, i
         part[row[lo:hi], column[lo:hi] - at] = 1
         common += part @ part.T
     fresh = np.ones(len(sets), bool)
-    for first in range(len(sets)):
+    for first in np.argsort(np.array(names), kind="stable").tolist():
         if not fresh[first]:
             continue
         fresh[first], todo = False, [first]
@@ -200,104 +239,109 @@ def _spanning(names: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, i
             fresh[near] = False
             for j in near.tolist():
                 todo.append(j)
-                yield names[k], names[j]
+                yield names[first], names[j]
 
 
 def class_links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``a, b``: verified links between classes that share a band, as many as span every family.
+    """``a, b``: links between classes that share a band and whose families a chain of verified pairs joins, a < b.
 
-    In every bucket all pairs are compared, exactly, on sets that travel as numbers in the vocabulary of all shingles (as
-    hashes where that is larger than VOCABULARY). A bucket of more than ``block`` classes is split into blocks of about that
-    many, and every two blocks meet in a group of their own, so memory is bounded and no pair is left out. Of the links of a
-    group only a spanning forest is kept. ``classes`` has class, shingles, bands and released.
+    In every bucket all pairs are compared, exactly. A bucket of more than ``block`` classes, or of more shingles than a
+    block may hold, is split into blocks, and every two blocks meet in a group of their own, so memory is bounded and no pair
+    is left out. Buckets with the same classes as another are compared once. Of a group only a star around the smallest class
+    of each of its families is kept. ``classes`` has class, shingles, n and bands.
     """
-    spark = classes.sparkSession
-    found = classes.select(F.explode("shingles").alias("s")).distinct().limit(VOCABULARY + 1).toPandas()["s"].to_numpy(np.int64)
-    sent = spark.sparkContext.broadcast(np.sort(found) if len(found) <= VOCABULARY else None)
-    kind = np.int64 if len(found) > VOCABULARY else np.uint16 if len(found) <= 2**16 else np.uint32
-    coded = classes.select("class", "bands", "shingles").mapInArrow(lambda batches: _coded(batches, sent.value), "class bigint, bands array<bigint>, set binary")
     keys = ["band", "value"]
-    many = classes.select(F.posexplode("bands").alias(*keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    rows = coded.select("class", "set", F.posexplode("bands").alias(*keys)).join(many, keys).withColumn("own", F.pmod(F.xxhash64("class", "band"), F.col("blocks")))
+    members = classes.select("class", "n", F.posexplode("bands").alias(*keys))
+    mark = F.xxhash64("class")
+    many = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("n").cast("long")).alias("total"), F.bit_xor(mark).alias("x"), F.sum(mark.bitwiseAND(F.lit(0xFFFFFFFF))).alias("y")).filter("size > 1")
+    many = many.groupBy("size", "x", "y").agg(F.min(F.struct(*keys, "total")).alias("b")).select("b.band", "b.value", F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("b.total") / BLOCK_SHINGLES)).alias("blocks"))
+    rows = members.drop("n").join(many.hint("merge"), keys).withColumn("own", F.pmod(F.xxhash64("class", "band"), F.col("blocks")))
     # of several blocks every two meet, which compares the pairs inside of each as well
     other = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("bigint"))).otherwise(F.expr("filter(sequence(0L, blocks - 1L), x -> x <> own)"))
-    placed = rows.withColumn("other", F.explode(other)).select(*keys, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "class", "set")
+    placed = rows.withColumn("other", F.explode(other)).select(*keys, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "class")
     group = [*keys, "low", "high"]
+    full = placed.join(classes.select("class", "shingles").hint("merge"), "class").select(*group, "class", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, names, sets = None, [], []
 
         def close() -> pa.RecordBatch:
             links = list(_spanning(names, sets)) if len(names) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
 
         for batch in batches:
             for *key, name, data in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 if key != now:
-                    yield close()
+                    if len(names) > 1:
+                        yield close()
                     now, names, sets = key, [], []
                 names.append(name)
-                sets.append(np.frombuffer(data, kind))
+                sets.append(np.frombuffer(data, np.uint32))
         yield close()
 
-    return placed.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a bigint, b bigint").distinct()
+    return full.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _texts(files: DataFrame, key: str, repo: str, released: bool) -> DataFrame:
+    return files.select(F.col(key).cast("long").alias("id"), F.lit(released).alias("released"), F.col(repo).alias("repo"), "path", "content").filter("id is not null and content is not null")
 
 
 def file_families(files: DataFrame, releases: DataFrame) -> DataFrame:
-    """For every file with a text: file_id, repo, family (smallest class of its family), members, repos, own kind, the kind
-    its family passes on, and the release it copies, if any.
+    """For every file with a text: file_id, repo, language, family (smallest class of its family), members, repos, released
+    (whether a library release is in the family), vote and hidden (of the file), family_kind (what the family decides, '' if
+    nothing), and release_id with ``held`` if the file is a verified copy of a release in its family.
 
     Files without an id or text give no rows; repeated rows count once. Empty texts are a class of their own without bands.
     """
-    ours = files.select(F.col("file_id").cast("long").alias("id"), F.lit(False).alias("released"), "repo", "path", "content").filter("id is not null and content is not null")
-    theirs = releases.select(F.col("release_id").cast("long").alias("id"), F.lit(True).alias("released"), F.col("package").alias("repo"), "path", "content").filter("id is not null and content is not null")
-    rows = cut(file_traits(ours.unionByName(theirs)).dropDuplicates(["id", "released"]))
-    classes = cut(rows.filter("class >= 0").groupBy("class").agg(F.first("shingles").alias("shingles"), F.first("bands").alias("bands"), F.max("released").alias("released")))
-    links = cut(class_links(classes))
-    families = cut(connected_components(classes.select(F.col("class").alias("id")), links).select(F.col("id").alias("class"), F.col("component").alias("family")))
-    placed = rows.select("id", "released", "repo", "language", "class", "kind", "ratio").join(families, "class", "left").withColumn("family", F.coalesce("family", "class"))
-    kinds = placed.filter("not released").groupBy("family").agg(
-        F.count(F.lit(1)).alias("members"), F.count_distinct("repo").alias("repos"), F.count_if(F.col("kind") != "").alias("shown"), F.max(F.when(F.col("kind") != "", F.col("kind"))).alias("common"), F.avg("ratio").alias("mean_ratio")
-    )
-    # A copy resembles its release, so it shares the release's family. Classes near a released one are found on the shingle
-    # sets; only the texts of their files are moved and checked.
-    member = families.join(classes, "class")
-    known = member.filter("released").select("family", F.col("class").alias("known"), F.col("shingles").alias("other"))
-    common = F.size(F.array_intersect("shingles", "other"))
-    near = member.select("family", "class", "shingles").join(known, "family").filter(common / (F.size("shingles") + F.size("other") - common) >= SUSPECT).select("class", "known")
-    releases_of = placed.filter("released").select(F.col("class").alias("known"), F.col("id").alias("release_id"))
-    suspects = placed.filter("not released").select("id", "class").join(near, "class").join(releases_of, "known")
-    copies = _verified_copies(suspects.select("id", "release_id"), ours, theirs)
-    passed = (F.col("members") >= FAMILY_SIZE) & (F.col("shown") >= FAMILY_SHARE * F.col("members"))
-    return (
-        placed.filter("not released").join(kinds, "family").join(copies, "id", "left")
-        .select(F.col("id").alias("file_id"), "repo", "language", "family", "members", "repos", "ratio", "mean_ratio", F.col("kind").alias("own_kind"), F.when(passed & (F.col("family") >= 0), F.col("common")).otherwise("").alias("family_kind"), "release_id", "held")
+    ours, theirs = _texts(files, "file_id", "repo", False), _texts(releases, "release_id", "package", True)
+    rows = cut(file_traits(ours.unionByName(theirs)))
+    classes = cut(rows.filter("class >= 0").groupBy("class").agg(F.first("shingles").alias("shingles"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    families = connected_components(None, cut(class_links(classes))).select(F.col("id").alias("class"), F.col("component").alias("family"))
+    placed = rows.select("id", "released", "repo", "language", "class", "vote", "hidden").dropDuplicates(["id", "released"]).join(families.hint("merge"), "class", "left").withColumn("family", F.coalesce("family", "class"))
+    placed = cut(placed)
+    votes = placed.filter("not released").groupBy("family", "vote").agg(F.count(F.lit(1)).alias("n"), F.min("repo").alias("r0"), F.max("repo").alias("r1"), F.count_if(F.col("repo").isNull()).alias("none"))
+    # first by votes, then by name, so that a tie has one result
+    best = F.max(F.when(F.col("vote") != "", F.struct("n", "vote")))
+    one_repo = (F.min("r0") == F.max("r1")) & (F.sum("none") == 0)
+    total, shown = F.sum("n"), F.coalesce(F.sum(F.when(F.col("vote") != "", F.col("n"))), F.lit(0))
+    share = F.when(one_repo & (total >= FAMILY_SIZE), ONE_REPO_SHARE).otherwise(FAMILY_SHARE)
+    decided = F.when((F.first("family") >= 0) & (shown >= share * total), best["vote"]).otherwise("")
+    kinds = votes.groupBy("family").agg(total.alias("members"), F.coalesce(one_repo, F.lit(False)).alias("one_repo"), F.coalesce(decided, F.lit("")).alias("family_kind"))
+    anchors = placed.filter("released").groupBy("family").agg(F.collect_set("id").alias("releases"))
+    ready = placed.filter("not released").join(kinds.hint("merge"), "family").join(anchors.hint("merge"), "family", "left")
+    copies = _verified_copies(ready.filter("releases is not null").select("id", F.explode("releases").alias("release_id")), ours, theirs)
+    return ready.join(copies.hint("merge"), "id", "left").select(
+        F.col("id").alias("file_id"), "repo", "language", "family", "members", "one_repo", F.col("releases").isNotNull().alias("released"), "vote", "hidden", "family_kind", "release_id", "held"
     )
 
 
 def _verified_copies(pairs: DataFrame, files: DataFrame, releases: DataFrame) -> DataFrame:
     """``id, release_id, held``: of each file the release of which it holds the largest share of unmasked shingles, if that
-    share reaches COPY_SHARE. Only the texts of suspects move; each is compared with the releases of its family one by one."""
+    share reaches COPY_SHARE; the smaller id of equal ones. Only the texts of families that hold a release are compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
-            for key, release, mine, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                own, other = (_shingles(_tokens(t, "sol")[1]) for t in (mine, text))
+            for key, release, path, mine, other_path, text in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                own, other = (_shingles(_tokens(t, _language(p))[0]) for p, t in ((path, mine), (other_path, text)))
                 held = float(np.isin(other, own).mean()) if len(other) else 0.0
                 if held >= COPY_SHARE:
                     for column, value in zip(out, (key, release, held), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["id", "release_id", "held"])
 
-    texts = pairs.join(files.dropDuplicates(["id"]).select("id", F.col("content").alias("mine")), "id").join(releases.dropDuplicates(["id"]).select(F.col("id").alias("release_id"), "content"), "release_id")
-    held = texts.select("id", "release_id", "mine", "content").mapInArrow(run, "id bigint, release_id bigint, held double")
+    # the ids go to the texts, so a file that is no suspect is dropped before its text is sorted
+    own = files.select("id", "path", F.col("content").alias("mine"))
+    other = releases.select(F.col("id").alias("release_id"), F.col("path").alias("other_path"), "content")
+    texts = pairs.join(own, "id").join(other, "release_id").select("id", "release_id", "path", "mine", "other_path", "content")
+    held = texts.mapInArrow(run, "id bigint, release_id bigint, held double")
     return held.groupBy("id").agg(F.max(F.struct("held", (-F.col("release_id")).alias("less"))).alias("best")).select("id", (-F.col("best.less")).alias("release_id"), F.col("best.held").alias("held"))
 
 
 def not_hand_written(families: DataFrame) -> DataFrame:
-    """``file_id, kind``: vendored (verified copy of a release), else the file's own kind, else that of its family."""
-    kind = F.when(F.col("release_id").isNotNull(), "vendored").when(F.col("own_kind") != "", F.col("own_kind")).otherwise(F.col("family_kind"))
+    """``file_id, kind``: vendored (verified copy of a release in its family), else what the family decides, else, where the
+    family decides nothing, what its masked tokens cannot show: the file's own notice, layout or file marks."""
+    kind = F.when(F.col("release_id").isNotNull(), "vendored").when(F.col("family_kind") != "", F.col("family_kind")).when(F.col("hidden"), F.col("vote")).otherwise("")
     return families.select("file_id", kind.alias("kind")).filter("kind <> ''")
 
 

@@ -13,6 +13,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -20,18 +21,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Masks of the seeds; 1 takes part, 0 is ignored. The first of each catches every passage that the definition allows:
-#: two changes leave 18 of 20 words in three runs, so 3 windows of 6; six leave 54 of 60 characters, so 12 windows of 7.
+#: Masks of the seeds; 1 takes part, 0 is ignored.
 WORD_MASKS = ("111111", "11101011")
 CHAR_MASKS = ("1111111", "1110110111")
-#: (shortest passage, shift of the diagonal that changes may bring, tokens of a passage that its seeds cover at least, window
-#: of item places and its step). Where changes alter the number of tokens no seed bridges them: runs of 5, 5 and 8 words leave
-#: the 8 covered, six runs of 6 characters and one of 18 leave the 18.
-WORD_RULE, CHAR_RULE = (20, 12, 8, 160, 80), (60, 40, 18, 120, 60)
+#: (shortest passage, shift of the diagonal that changes may bring, weight of the first mask). A passage of 10 k words with k
+#: of them changed keeps 9 k in at most k + 1 runs, so at least 9 k - (w - 1)(k + 1) seeds of w unbroken words, whatever the
+#: changes do to the number of words; a longer passage holds one of 10 k or two halves of which one is a passage. So of the
+#: lengths 10 k from the shortest up to less than twice that, one has its seeds (``_needs``): for words 3 seeds within 20 or
+#: 7 within 30, for characters 12 within 60, 15 within 70, up to 27 within 110.
+WORD_RULE, CHAR_RULE = (20, 12, 6), (60, 40, 7)
 BLOCK_ITEMS = 4000
 
+
+def _needs(rule: tuple[int, int, int]) -> list[tuple[int, int]]:
+    """(seeds, units): a passage has that many seeds within that many units of the item, for one of these."""
+    least, _, weight = rule
+    return [(9 * k - (weight - 1) * (k + 1), 10 * k) for k in range(least // 10, least // 5)]
+
 _UNSPACED = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u3005\u0e00-\u0e7f\u0e80-\u0eff\u1000-\u109f\u1780-\u17ff]")
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|<!--.*?-->", re.DOTALL)
+# A tag with well-written attributes may have any length; a sloppier one is told from a comparison by its shortness.
+_TAG = re.compile(r"""</?[a-zA-Z][\w:.-]*+(?:\s++[\w:@.-]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s<>"']++))?+)*+\s*+/?+>|</?[a-zA-Z][^<>]{0,200}>""")
 _ENTITY = re.compile(r"&(?:#\d|#[xX]|[a-zA-Z]{2})")
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\U000e0000-\U000e0fff]")
 _BROKEN = re.compile(r"([^\W_]+)[-‐‑]\s*\n[ \t]*(?:(?://+|#+|[>*%;]|--)[ \t]*)?([^\W_]+)")
@@ -42,12 +51,20 @@ _FACTORS = _rng.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 _BITS = 20
 
 
+def _without_comments(text: str) -> str:
+    parts, at = [], 0
+    while (begin := text.find("<!--", at)) >= 0 and (end := text.find("-->", begin + 4)) >= 0:
+        parts.append(text[at:begin])
+        at = end + 3
+    return "".join([*parts, text[at:]])
+
+
 def plain(text: str) -> str:
     """The text without mark-up, invisible characters, width and case."""
     if _ENTITY.search(text):
         text = html.unescape(text)
     if "<" in text:
-        text = _TAG.sub("", text)
+        text = _TAG.sub("", _without_comments(text) if "<!--" in text else text)
     if not text.isascii():
         text = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
     return text.casefold()
@@ -58,7 +75,7 @@ class Stream(NamedTuple):
     it counts for nothing; hashes of each mask, sorted, with the place of the seed; bits: a filter over the hashes."""
 
     masks: tuple[str, ...]
-    rule: tuple[int, int, int, int, int]
+    rule: tuple[int, int, int]
     ids: list[int]
     starts: np.ndarray
     tokens: np.ndarray
@@ -90,7 +107,7 @@ def _seed_hashes(tokens: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]
     return total * _FACTORS[63], known
 
 
-def _stream(ids: list[int], parts: list[np.ndarray], units: list[np.ndarray], masks: tuple[str, ...], rule: tuple[int, int, int, int, int]) -> Stream:
+def _stream(ids: list[int], parts: list[np.ndarray], units: list[np.ndarray], masks: tuple[str, ...], rule: tuple[int, int, int]) -> Stream:
     starts = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])]).astype(np.int64)
     tokens = np.concatenate([x for p in parts for x in (p, [0])] or [np.zeros(0)]).astype(np.uint32)
     unit = np.concatenate([x for u in units for x in (u, [-1])] or [np.zeros(0)]).astype(np.int64)
@@ -121,7 +138,7 @@ def build_index(items: Iterable[tuple[int, str]], instructions: Counter | None =
     vocabulary: dict[str, int] = {}
     kinds: tuple[list, list] = ([], [])
     for key, text in items:
-        skip = _opening(text) if shared[" ".join(_WORD.findall(plain(_opening(text))))] > 1 else ""
+        skip = _opening(text) if shared[_opening_key(text)] > 1 else ""
         head = len("".join(_WORD.findall(plain(skip))))
         clean = plain(text)
         stream = "".join(_WORD.findall(clean))
@@ -145,111 +162,132 @@ def build_index(items: Iterable[tuple[int, str]], instructions: Counter | None =
 
 def opening_counts(items: Iterable[tuple[int, str]]) -> Counter:
     """How many different items open with the same line or sentence."""
-    return Counter(" ".join(_WORD.findall(plain(_opening(t)))) for t in {t for _, t in items})
-
-
-def _verified(doc: np.ndarray, item: np.ndarray, unit: np.ndarray, hits: np.ndarray, rule: tuple[int, int, int, int, int]) -> bool:
-    """Whether the document has a passage of the item; hits: (place in the item, place in the document) of the seeds."""
-    least, shift, _, _, _ = rule
-    diagonals = np.sort(hits[:, 1] - hits[:, 0])
-    for group in np.split(diagonals, np.flatnonzero(np.diff(diagonals) > shift) + 1):
-        if len(group) < 3:
-            continue
-        inside = hits[(hits[:, 1] - hits[:, 0] >= group[0]) & (hits[:, 1] - hits[:, 0] <= group[-1])]
-        a, b = max(0, inside[:, 0].min() - 4 * least), min(len(item), inside[:, 0].max() + 4 * least)
-        part, number = item[a:b], unit[a:b]
-        same = np.zeros(b - a, bool)
-        own = np.unique(group)
-        spaced = shift < 20
-        near = range(own[0] - shift // 2, own[-1] + shift // 2 + 1) if own[-1] - own[0] <= 8 * shift else own
-        for d in near:
-            lo, hi = max(a, -d), min(b, len(doc) - d)
-            if hi - lo < 4:
-                continue
-            eq = part[lo - a : hi - a] == doc[lo + d : hi + d]
-            k = np.searchsorted(own, d)
-            if spaced and k < len(own) and own[k] == d:
-                same[lo - a : hi - a] |= eq
-                continue
-            width = 3 if spaced else 4  # shorter runs off the diagonals of the seeds are chance, as are those of letters
-            run = np.logical_and.reduce([eq[j : len(eq) - width + 1 + j] for j in range(width)])
-            if run.any():
-                for j in range(width):
-                    same[lo - a + j : hi - a - width + 1 + j] |= run
-        counts = number >= 0
-        if not counts.any():
-            continue
-        first = number[counts].min()
-        total = np.bincount(number[counts] - first)
-        kept = np.bincount(number[counts] - first, same[counts])
-        if a > 0 and unit[a - 1] == number[0] >= 0:
-            kept[number[0] - first] = -1
-        good = (kept == total) & (total > 0)
-        n = len(good)
-        if n < least:
-            continue
-        f = np.arange(n + 1) - 10 * np.concatenate([[0], np.cumsum(~good)])
-        open_at = np.where(good, f[:-1], 1 << 30)
-        lowest = np.minimum.accumulate(open_at)[: n - least + 1]
-        if ((f[least:] >= lowest) & good[least - 1 :]).any():
-            return True
-    return False
+    return Counter(_opening_key(t) for t in {t for _, t in items})
+
+
+def _opening_key(text: str) -> str:
+    return " ".join(_WORD.findall(plain(_opening(text))))
+
+
+def _with_openings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [_opening_key(t) for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string())], names=["_text", "_opening"])
+
+
+def _verified(doc: np.ndarray, item: np.ndarray, unit: np.ndarray, hits: np.ndarray, rule: tuple[int, int, int]) -> bool:
+    """Whether the document has a passage of the item near the hits (place in the item, place in the document), whose
+    diagonals lie within one window."""
+    least, shift, _ = rule
+    diagonals = hits[:, 1] - hits[:, 0]
+    own = np.unique(diagonals)
+    a, b = max(0, int(hits[:, 0].min()) - 4 * least), min(len(item), int(hits[:, 0].max()) + 4 * least)
+    part, number = item[a:b], unit[a:b]
+    low, spaced = int(own[0]) - shift // 2, shift < 20
+    across = int(own[-1]) + shift // 2 - low + 1
+    # one row for each diagonal; beyond the ends of the document stand zeros, which no item holds
+    beside = np.zeros(len(part) + across - 1, doc.dtype)
+    lo, hi = max(0, a + low), min(len(doc), a + low + len(beside))
+    beside[lo - a - low : max(lo, hi) - a - low] = doc[lo : max(lo, hi)]
+    eq = np.lib.stride_tricks.sliding_window_view(beside, len(part)) == part
+    width = 3 if spaced else 4  # shorter runs off the diagonals of the seeds are chance, as are those of letters
+    same = eq[own - low].any(axis=0) if spaced else np.zeros(len(part), bool)
+    if len(part) >= width:
+        run = np.logical_and.reduce([eq[:, j : len(part) - width + 1 + j] for j in range(width)]).any(axis=0)
+        for j in range(width):
+            same[j : len(part) - width + 1 + j] |= run
+    counts = number >= 0
+    if not counts.any():
+        return False
+    first = number[counts].min()
+    total = np.bincount(number[counts] - first)
+    kept = np.bincount(number[counts] - first, same[counts])
+    if a > 0 and unit[a - 1] == number[0] >= 0:
+        kept[number[0] - first] = -1
+    good = (kept == total) & (total > 0)
+    n = len(good)
+    if n < least:
+        return False
+    f = np.arange(n + 1) - 10 * np.concatenate([[0], np.cumsum(~good)])
+    open_at = np.where(good, f[:-1], 1 << 30)
+    lowest = np.minimum.accumulate(open_at)[: n - least + 1]
+    return bool(((f[least:] >= lowest) & good[least - 1 :]).any())
+
+
+def _hits(stream: Stream, tokens: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place among the tokens, place among the items' tokens) of all equal seeds of one mask."""
+    hashes, places, bits = stream.hashes[which], stream.places[which], stream.bits[which]
+    h, known = _seed_hashes(tokens, stream.masks[which])
+    at = np.flatnonzero(known & bits[h >> np.uint64(64 - _BITS)])
+    left, right = np.searchsorted(hashes, h[at], "left"), np.searchsorted(hashes, h[at], "right")
+    n = right - left
+    return np.repeat(at, n), places[np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+
+
+def _windows(group: np.ndarray, place: np.ndarray, stream: Stream) -> np.ndarray:
+    """The groups whose distinct seeds stand as close as those of a passage."""
+    if not len(group):
+        return group
+    order = np.lexsort((place, group))
+    group, place = group[order], place[order]
+    fresh = np.ones(len(group), bool)
+    fresh[1:] = (group[1:] != group[:-1]) | (place[1:] != place[:-1])
+    group, place = group[fresh], place[fresh]
+    begin, end = stream.unit[place], stream.unit[place + stream.rule[2] - 1]
+    found = []
+    for seeds, units in _needs(stream.rule):
+        if len(group) >= seeds:
+            last = slice(seeds - 1, None)
+            near = (group[last] == group[: len(group) - seeds + 1]) & (end[last] - begin[: len(group) - seeds + 1] < units)
+            found.append(group[last][near])
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
 def _matches(stream: Stream, tokens: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int]]:
     """(number of the document, number of the item) of every verified pair. ``tokens`` holds the documents one behind the
     other, each followed by 0; document k begins at begins[k]."""
-    at_doc, at_item, used = [], [], []
-    for mask, hashes, places, bits in zip(stream.masks, stream.hashes, stream.places, stream.bits, strict=True):
-        if not len(hashes):
-            continue
-        h, known = _seed_hashes(tokens, mask)
-        at = np.flatnonzero(known & bits[h >> np.uint64(64 - _BITS)])
-        left, right = np.searchsorted(hashes, h[at], "left"), np.searchsorted(hashes, h[at], "right")
-        n = right - left
-        used.append(mask)
-        at_doc.append(np.repeat(at, n))
-        at_item.append(places[np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
-    if not at_doc:
+    if not len(tokens) or not any(map(len, stream.hashes)):
         return
-    doc_at, item_at = np.concatenate(at_doc), np.concatenate(at_item)
-    shape = np.concatenate([np.full(len(x), k, np.int8) for k, x in enumerate(at_doc)])
-    doc = np.searchsorted(begins, doc_at, "right") - 1
-    item = np.searchsorted(stream.starts, item_at, "right") - 1
-    pair = doc.astype(np.int64) * len(stream.ids) + item
-    _, number, times = np.unique(pair, return_inverse=True, return_counts=True)
-    some = times[number] >= 3
-    pair, item, doc, item_at, doc_at, shape = (x[some] for x in (pair, item, doc, item_at, doc_at, shape))
-    _, shift, least, window, step = stream.rule
-    inside = item_at - stream.starts[item]
-    local = doc_at - begins[doc]
+    shift = stream.rule[1]
     longest = int(np.diff(stream.starts).max())
-    # Tokens of the item that seeds cover, within overlapping windows of item places and of diagonals; a passage near the
-    # limit lies whole in one of them.
-    place, band = inside // step, (local - inside + longest) // shift
-    places, bands = int(place.max(initial=0)) + 2, int(band.max(initial=0)) + 2
-    keep = np.zeros(len(pair), bool)
-    for back in range(window // step):
-        for side in range(2):
-            _, group = np.unique((pair * places + np.maximum(place - back, 0)) * bands + np.maximum(band - side, 0), return_inverse=True)
-            often = np.bincount(group)[group] >= 3
-            if not often.any():
-                continue
-            covered = [group[own] * (longest + 32) + inside[own] + k for n, mask in enumerate(used) for own in [often & (shape == n)] for k, c in enumerate(mask) if c == "1"]
-            size = np.bincount(np.unique(np.concatenate(covered)) // (longest + 32), minlength=group.max() + 1)
-            keep |= size[group] >= least
-    order = np.argsort(pair[keep], kind="stable")
-    pair, local, inside = pair[keep][order], local[keep][order], inside[keep][order]
-    if not len(pair):
+    bands = (len(tokens) + 2 * longest) // shift + 2
+
+    def placed(doc_at: np.ndarray, item_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        doc, item = np.searchsorted(begins, doc_at, "right") - 1, np.searchsorted(stream.starts, item_at, "right") - 1
+        local, inside = doc_at - begins[doc], item_at - stream.starts[item]
+        return doc.astype(np.int64) * len(stream.ids) + item, local, inside, (local - inside + longest) // shift
+
+    doc_at, item_at = _hits(stream, tokens, 0)
+    pair, _, _, band = placed(doc_at, item_at)
+    _, number, times = np.unique(pair, return_inverse=True, return_counts=True)
+    often = times[number] >= _needs(stream.rule)[0][0]
+    doc_at, item_at, pair, band = doc_at[often], item_at[often], pair[often], band[often]
+    # every two neighbouring bands of diagonals are a window, so a passage lies whole in one
+    group = np.concatenate([pair * bands + band, pair * bands + np.maximum(band - 1, 0)])
+    windows = _windows(group, np.concatenate([item_at, item_at]), stream)
+    if not len(windows):
         return
+    some = np.isin(pair, np.unique(windows // bands))
+    rows = [(doc_at[some], item_at[some])]
     ends = np.concatenate([begins[1:], [len(tokens)]])
-    edges = np.flatnonzero(np.diff(pair, prepend=-1))
-    for a, b in zip(edges, [*edges[1:], len(pair)], strict=True):
-        d, i = divmod(int(pair[a]), len(stream.ids))
-        own = slice(int(begins[d]), int(ends[d]) - 1)
-        its = slice(int(stream.starts[i]), int(stream.starts[i + 1]) - 1)
+    for d in np.unique(windows // bands // len(stream.ids)).tolist():
+        for which in range(1, len(stream.masks)):
+            near, item_at = _hits(stream, tokens[begins[d] : ends[d]], which)
+            rows.append((near + begins[d], item_at))
+    pair, local, inside, band = placed(*(np.concatenate(x) for x in zip(*rows, strict=True)))
+    order = np.lexsort((band, pair))
+    key, local, inside = (pair * bands + band)[order], local[order], inside[order]
+    done = -1
+    for window in windows.tolist():
+        own = window // bands
+        if own == done:
+            continue
+        d, i = divmod(own, len(stream.ids))
+        a, b = np.searchsorted(key, [window, window + 2])
         hits = np.stack([inside[a:b], local[a:b]], axis=1)
-        if _verified(tokens[own], stream.tokens[its], stream.unit[its], hits, stream.rule):
+        its = slice(int(stream.starts[i]), int(stream.starts[i + 1]) - 1)
+        if _verified(tokens[int(begins[d]) : int(ends[d]) - 1], stream.tokens[its], stream.unit[its], hits, stream.rule):
+            done = own
             yield d, i
 
 
@@ -295,26 +333,22 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id"
     under several ids is reported under each.
     """
     spark = documents.sparkSession
-    rows = items.select(F.col(item_key).cast("long").alias(item_key), F.col(text).alias(text)).filter(f"{item_key} is not null and {text} is not null").distinct().orderBy(item_key, text)
+    rows = items.select(F.col(item_key).cast("long").alias("_item"), F.col(text).alias("_text")).filter("_item is not null and _text is not null").distinct()
+    known = rows.select("_text").distinct().mapInArrow(_with_openings, "_text string, _opening string")
+    shared = known.groupBy("_opening").agg(F.count(F.lit(1)).alias("_n"))
+    flagged = rows.join(known, "_text").join(shared, "_opening").select("_item", "_text", (F.col("_n") > 1).alias("_shared")).orderBy("_item", "_text")
     schema = f"{item_key} bigint, {doc_key} bigint"
     source = documents.select(F.col(doc_key).cast("long").alias(doc_key), F.col(text).alias(text)).filter(F.length(F.col(text)) > 0)
 
-    def blocks() -> Iterator[list[tuple[int, str]]]:
-        open_block: list[tuple[int, str]] = []
-        for r in rows.toLocalIterator():
-            open_block.append((r[0], r[1]))
-            if len(open_block) == block:
-                yield open_block
-                open_block = []
-        if open_block:
-            yield open_block
-
-    openings: Counter = Counter()
-    for part in blocks():
-        openings.update(opening_counts(part))
+    def blocks() -> Iterator[list]:
+        rest = flagged.toLocalIterator()
+        while part := list(islice(rest, block)):
+            yield part
+
     out = spark.createDataFrame([], schema)
     for n, part in enumerate(blocks()):
-        sent = spark.sparkContext.broadcast(build_index(part, openings))
+        openings = Counter({_opening_key(r["_text"]): 2 for r in part if r["_shared"]})
+        sent = spark.sparkContext.broadcast(build_index([(r["_item"], r["_text"]) for r in part], openings))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             index: Index = sent.value

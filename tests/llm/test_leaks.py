@@ -27,9 +27,14 @@ def quote(item, start, n, changes=()):
 
 
 def brute(doc, item):
-    """The definition on plain words without insertions: some run of 20 item words with at most two others in place."""
+    """The definition on plain words without insertions: some run of 20 or more item words with at most a tenth of others
+    in place, not at its ends."""
     d, w = re.findall(r"\w+", doc.lower()), item.split()
-    return any(sum(a != b for a, b in zip(d[i : i + 20], w[j : j + 20], strict=True)) <= 2 and d[i] == w[j] and d[i + 19] == w[j + 19] for i in range(len(d) - 19) for j in range(len(w) - 19))
+    for shift in range(-len(w), len(d)):
+        same = [d[j + shift] == x if 0 <= j + shift < len(d) else False for j, x in enumerate(w)]
+        if sum(same) >= 18 and any(same[j] and same[j + n - 1] and 10 * (n - sum(same[j : j + n])) <= n for n in range(20, 41) for j in range(len(w) - n + 1)):
+            return True
+    return False
 
 
 def found(spark, docs, items=ITEMS, **kw):
@@ -44,17 +49,14 @@ def test_against_brute_force(spark):
         item, n = rng.randrange(1, 21), rng.choice([10, 15, 19, 20, 21, 25, 40])
         changes = sorted(rng.sample(range(1, n - 1), rng.choice([0, 1, 2, 3])))
         docs.append((k, f"{text(rng.randrange(0, 60))} {' '.join(quote(item, rng.randrange(0, 80 - n), n, changes))} {text(rng.randrange(0, 60))}"))
-    want = {(i, k) for k, t in docs for i, x in ITEMS[:20] if brute(t, x)}
-    got = found(spark, docs)
-    assert want <= got
-    assert all((i, k) in want or len(re.findall(r"\w+", dict(docs)[k])) >= 25 for i, k in got)
-    assert len(want) > 50 and len(got - want) <= 0.1 * len(want)
-    assert found(spark, docs, block=7) == got
+    want = {(i, k) for k, t in docs for i, x in ITEMS[:20] if set(x.split()) & set(t.split()) and brute(t, x)}
+    assert found(spark, docs) == want and len(want) > 50
+    assert found(spark, docs, block=7) == want
 
 
 @pytest.mark.parametrize(
     "change",
-    [str.upper, lambda t: t.replace(" ", "\n> "), lambda t: t.replace(" ", ", "), lambda t: t.replace("w", "w\u200b"), lambda t: "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in t), lambda t: t.replace(" ", "&nbsp;"), lambda t: " ".join(f"<em>{w}</em>" for w in t.split()), lambda t: re.sub(r"(w\d)(\d+x) ", "\\1-\n\\2 ", t, count=3), lambda t: "```\n// " + t.replace(" ", "\n// ") + "\n```"],
+    [str.upper, lambda t: t.replace(" ", "\n> "), lambda t: t.replace(" ", ", "), lambda t: t.replace("w", "w\u200b"), lambda t: "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in t), lambda t: t.replace(" ", "&nbsp;"), lambda t: " ".join(f"<em>{w}</em>" for w in t.split()), lambda t: t.replace(" ", f' <span class="{"x y " * 105}" id=k> ', 3), lambda t: t.replace(" ", f" <b {'long ' * 84}> ", 2), lambda t: t.replace(" ", f" <!-- {'note ' * 90}--> ", 2), lambda t: re.sub(r"(w\d)(\d+x) ", "\\1-\n\\2 ", t, count=3), lambda t: "```\n// " + t.replace(" ", "\n// ") + "\n```"],
 )
 def test_disguises(spark, change):
     assert found(spark, [(1, "intro " + change(" ".join(quote(3, 10, 24))) + " end")]) == {(3, 1)}

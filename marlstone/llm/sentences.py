@@ -41,14 +41,42 @@ NEVER_END = {
     "it": "sig sigg sig.ra dott prof art fig pag cap",
     "hi": "डॉ प्रो सं पृ रु श्रीमती कु",
     "nl": "dhr mevr dr prof nr blz fig art bijv ca d.w.z o.a",
+    "ar": "د أ م ص ج ط ت ق.م",
+    "th": "ดร ศ รศ ผศ นพ พญ ทพ โทร พ.ศ ค.ศ ม.ค ก.พ มี.ค เม.ย พ.ค มิ.ย ก.ค ส.ค ก.ย ต.ค พ.ย ธ.ค",
+    "zh": "mr mrs ms dr prof st vs no vol fig eq p pp e.g i.e cf ca",
+    "ja": "mr mrs ms dr prof st vs no vol fig eq p pp e.g i.e cf ca",
+    "ko": "mr mrs ms dr prof st vs no vol fig eq p pp e.g i.e cf ca",
 }
+# Frequent words that tell the languages of the Latin script from one another.
+FREQUENT = {
+    "en": "a the and of to is was that it for with not this are be by from which they have has were he she or an as on at its in then there their would can will but more when only after",
+    "de": "der die das und ist nicht ein eine einer den dem des mit von zu im in auf für wird werden sich auch wir sie es war bei als dass nie nur noch wenn aber oder nach aus um hat haben sind wurde an so am beim zum zur",
+    "fr": "a le la les et est une des du de dans que qui pas pour sur au aux ce cette avec il elle nous ne se sont par un en soit sans plus mais ou où ont été trop si son sa ses ces",
+    "es": "a el la los las y es de una del que en no por con para se su un al lo como más fue son este esta pero o sin sus ha han cada entre hay muy ya",
+    "pt": "a o os as e é de uma do da dos das que em não por com para se um ao mais foi são este esta mas ou sem seu sua pelo pela",
+    "it": "a il lo gli e è una di del della dei che in non per con si un al più sono questo questa nel ma o senza suo sua dalla alla",
+    "nl": "de het een en is van niet dat met voor op zijn te in er aan ook door bij naar werd maar of als dan wordt geen nog",
+}
+# How the languages are named in metadata.
+NAMES = {"english": "en", "eng": "en", "german": "de", "deutsch": "de", "deu": "de", "ger": "de", "french": "fr", "français": "fr", "francais": "fr", "fra": "fr", "fre": "fr", "spanish": "es", "español": "es", "espanol": "es", "spa": "es", "portuguese": "pt", "por": "pt", "italian": "it", "ita": "it", "dutch": "nl", "nld": "nl", "russian": "ru", "rus": "ru", "русский": "ru", "hindi": "hi", "hin": "hi", "हिन्दी": "hi", "arabic": "ar", "ara": "ar", "العربية": "ar", "thai": "th", "tha": "th", "ไทย": "th", "chinese": "zh", "zho": "zh", "chi": "zh", "中文": "zh", "japanese": "ja", "jpn": "ja", "日本語": "ja", "korean": "ko", "kor": "ko", "한국어": "ko"}
 # Abbreviations that can end a sentence, which they do before a capital or an uncased letter.
 MAY_END = set("etc inc ltd co corp llc plc jr sr. a.m p.m am pm usw u.s.w ff f uu gmbh ag s.a s.l т.д т.п др г гг руб тыс млн млрд в вв н.э jh esq ph.d b.c a.d".split())
 # Of these, the ones that are words of their own unless a number or a letter follows.
-_NUMBERED = set("no nos nr nrn fig figs eq eqs sec secs ch chs vol vols app abs art arts para paras cap kap abb bd pág págs pag núm num max min p pp pg п пп рис табл ст гл стр".split())
-_NEVER = {w for words in NEVER_END.values() for w in words.split()} - MAY_END
+_NUMBERED = set("ed eds no nos nr nrn fig figs eq eqs sec secs ch chs vol vols app abs art arts para paras cap kap abb bd pág págs pag núm num max min p pp pg п пп рис табл ст гл стр".split())
+_NEVER: dict[str, set[str]] = {}
+for _language, _words in NEVER_END.items():
+    for _w in set(_words.split()) - MAY_END:
+        _NEVER.setdefault(_w, set()).add(_language)
+_FREQUENT: dict[str, set[str]] = {}
+for _language, _words in FREQUENT.items():
+    for _w in _words.split():
+        _FREQUENT.setdefault(_w, set()).add(_language)
+#: Characters on each side of a word whose frequent words show its language.
+NEAR = 100
+_LATIN = re.compile("[a-z\u00df-\u024f]")
+_LETTERS_ONLY = re.compile(r"[^\W\d_]+")
 # Nouns that take a letter as their label, so that the letter is no initial.
-LABELLED = set("plan version option appendix phase type class group part team level case variant table annex exhibit model schedule step tier plans plan, option, variante version, klasse teil fall план вариант часть класс".split())
+LABELLED = set("plan version option appendix phase type class group part team level case variant table annex exhibit model schedule step tier plans variante klasse teil fall план вариант часть класс".split())
 # Small letters that stand for a word, as in z. B., d. h., p. ej. and т. е.
 _LETTERS = set("zudsoivmpcnfтекчнпс")
 _MONTHS = "januar februar märz april mai juni juli august september oktober november dezember jänner jan feb apr jun jul aug sep sept okt nov dez".split()
@@ -77,7 +105,36 @@ _GLUED = re.compile(r"[^\W\d_][^\W\d_A-Z]*\s")
 _WORD = re.compile(r"\w+\(?")
 
 
-def _breaks_after_stop(text: str, lo: int, at: int, end: int, after: int, gap: bool, closed: bool, hi: int) -> bool:
+def language_code(lang: str | None) -> str | None:
+    """The code of a language as metadata spell it (``EN``, ``en-US``, ``English``), or null if it is none of the known."""
+    head = re.split(r"[-_\s(]", (lang or "").strip().lower(), maxsplit=1)[0]
+    head = NAMES.get(head, head)
+    return head if head in NEVER_END else None
+
+
+class Scope:
+    """Decides between languages where a word is an abbreviation in some but not in all. Texts mix languages within one
+    paragraph, so the frequent words around it come first; where they show nothing or speak for both, the stated language
+    decides; where that is unknown, the abbreviation holds. Abbreviations of other scripts have no rival."""
+
+    def __init__(self, text: str, lang: str | None) -> None:
+        self.text, self.stated = text, language_code(lang)
+
+    def holds(self, word: str, languages: set[str], lo: int, at: int, hi: int) -> bool:
+        if not _LATIN.match(word) or self.stated in languages and len(languages) > 4:
+            return True
+        counts: dict[str, int] = {}
+        for w in _LETTERS_ONLY.findall(self.text[max(lo, at - NEAR) : min(hi, at + NEAR)].lower()):
+            for x in _FREQUENT.get(w, ()):
+                counts[x] = counts.get(x, 0) + 1
+        own = max((n for x, n in counts.items() if x in languages), default=0)
+        other = max((n for x, n in counts.items() if x not in languages), default=0)
+        if own != other:
+            return own > other
+        return own > 0 or self.stated is None or self.stated in languages
+
+
+def _breaks_after_stop(scope: Scope, text: str, lo: int, at: int, end: int, after: int, gap: bool, closed: bool, hi: int) -> bool:
     """Whether the lone full stop text[at] ends a sentence; ``end`` lies behind the marks that close it, ``after`` is the
     next character that is not blank, ``hi`` the end of the paragraph."""
     nxt = text[after]
@@ -86,10 +143,10 @@ def _breaks_after_stop(text: str, lo: int, at: int, end: int, after: int, gap: b
             return not closed
         prev = text[end - 1] if end - 1 > at else text[at - 1] if at > lo else " "
         # a sentence glued to the next one: small letter, stop, capitalised word of plain letters
-        return nxt.isupper() and (prev.islower() or prev.isdigit() or prev in ")%\"”»") and bool(_GLUED.match(text, after, hi)) and _abbreviation(text, lo, at, after) != 1
+        return nxt.isupper() and (prev.islower() or prev.isdigit() or prev in ")%\"”»") and bool(_GLUED.match(text, after, hi)) and _abbreviation(scope, text, lo, at, after, hi) != 1
     if nxt in CONTINUE and nxt not in "-–—":
         return False
-    kind = _abbreviation(text, lo, at, after)
+    kind = _abbreviation(scope, text, lo, at, after, hi)
     if kind == 1 and not closed:
         return False
     k = after
@@ -108,9 +165,13 @@ def _breaks_after_stop(text: str, lo: int, at: int, end: int, after: int, gap: b
     return True
 
 
-def _abbreviation(text: str, lo: int, at: int, after: int) -> int:
+def _abbreviation(scope: Scope, text: str, lo: int, at: int, after: int, hi: int) -> int:
     """Of the word before the stop at ``at``: 1 if it is an abbreviation that goes on, 2 if one that may end, else 0."""
-    m = _BEFORE.search(text, max(lo, at - 24), at)
+    back = 24
+    m = _BEFORE.search(text, max(lo, at - back), at)
+    while m and m.start() == at - back > lo:  # the word may begin further up
+        back *= 4
+        m = _BEFORE.search(text, max(lo, at - back), at)
     if not m:
         return 0
     word = m[0].rpartition("-")[2]
@@ -119,7 +180,7 @@ def _abbreviation(text: str, lo: int, at: int, after: int) -> int:
         return 2
     if low in _NUMBERED:
         return int(text[after].isdigit() or (text[after].isupper() and not text[after + 1 : after + 2].isalnum()) or len(low) == 1)
-    if low in _NEVER:
+    if low in _NEVER and scope.holds(low, _NEVER[low], lo, at, hi):
         return 1
     if low.isdigit() and len(low) <= 2 and _MONTH.match(text, at + 1):
         return 1
@@ -127,8 +188,13 @@ def _abbreviation(text: str, lo: int, at: int, after: int) -> int:
     if "." in low and letters.isalpha() and all(len(x) == 1 for x in low.split(".")):
         return 2 if low in MAY_END else 1
     if len(word) == 1 and word.isalpha():
-        back = text[max(lo, m.start() - 16) : m.start()].split()
-        before = back[-1].lower() if back else ""
+        end = m.start()
+        while end > lo and text[end - 1].isspace():
+            end -= 1
+        begin = end
+        while begin > lo and not text[begin - 1].isspace():
+            begin -= 1
+        before = text[begin:end].lower()
         if low in "дп" and before == "т.":
             return 2
         if word.isupper() and before in LABELLED:
@@ -174,20 +240,18 @@ def _events(text: str, marked: re.Pattern, lo: int, hi: int) -> tuple[list[tuple
 def _pairs(places: list[int], text: str, lo: int, hi: int) -> list[tuple[int, int]]:
     """Outermost spans [first mark, behind the last mark) between matching quotation marks or brackets."""
     stack: list[tuple[str, int]] = []
+    still: dict[str, list[int]] = {}  # of each opening mark, its places in the stack
     spans: list[tuple[int, int]] = []
     for at in places:
         c = text[at]
         opening = _ENDS.get(c) if c != '"' else '"'
-        found = -1
-        if opening is not None:
-            for k in range(len(stack) - 1, max(-1, len(stack) - 9), -1):
-                if stack[k][0] == opening:
-                    found = k
-                    break
+        found = still[opening][-1] if still.get(opening) else -1
         if found >= 0 and not (c == '"' and _opens(text, at, lo, hi)):
             spans.append((stack[found][1], at + 1))
-            del stack[found:]
+            while len(stack) > found:
+                still[stack.pop()[0]].pop()
         elif c == '"' or c in PAIRS:
+            still.setdefault(c, []).append(len(stack))
             stack.append((c, at))
     spans.sort()
     outer: list[tuple[int, int]] = []
@@ -202,7 +266,7 @@ def _opens(text: str, at: int, lo: int, hi: int) -> bool:
     return (at == lo or text[at - 1].isspace()) and at + 1 < hi and not text[at + 1].isspace() and (text[at + 1].isalnum() or text[at + 1] in "¿¡([")
 
 
-def _paragraph(text: str, marked: re.Pattern, lo: int, hi: int, body: int, out: list[tuple[int, int]]) -> None:
+def _paragraph(scope: Scope, text: str, marked: re.Pattern, lo: int, hi: int, body: int, out: list[tuple[int, int]]) -> None:
     """Append the units of text[lo:hi]; marks before ``body`` (a list marker) end nothing."""
     cuts: list[int] = []
     runs, places = _events(text, marked, body, hi)
@@ -236,7 +300,7 @@ def _paragraph(text: str, marked: re.Pattern, lo: int, hi: int, body: int, out:
             if len(run) > 1 or run == "…":
                 ok = gap and not nxt.islower() and nxt not in CONTINUE or (not gap and bool(_UNSPACED.match(nxt)) and not closed and at > lo and bool(_UNSPACED.match(text[at - 1])))
             else:
-                ok = _breaks_after_stop(text, lo, at, end, after, gap, closed, hi)
+                ok = _breaks_after_stop(scope, text, lo, at, end, after, gap, closed, hi)
         elif run[-1] in _NARROW:
             if gap:
                 ok = nxt not in CONTINUE and not (closed and nxt.islower())
@@ -273,8 +337,9 @@ def _lines(text: str) -> list[str]:
     return lines
 
 
-def sentence_units(text: str) -> list[tuple[int, int]]:
+def sentence_units(text: str, lang: str | None = None) -> list[tuple[int, int]]:
     """(start, end) of the units of a text, in order, in code points."""
+    scope = Scope(text, lang)
     out: list[tuple[int, int]] = []
     marked = _MARKS_ASCII if text.isascii() else _MARKS if _ASTRAL.search(text) else _MARKS_BASIC
     lo = body = -1  # start of the open paragraph and of its text behind a list marker
@@ -301,26 +366,26 @@ def sentence_units(text: str) -> list[tuple[int, int]]:
             continue
         if line.isspace() or not line:
             if lo >= 0:
-                _paragraph(text, marked, lo, hi, body, out)
+                _paragraph(scope, text, marked, lo, hi, body, out)
                 lo = -1
             in_list = False
             continue
         first = line.lstrip()[0]
         if first in "`~" and (m := _FENCE.match(line)):
             if lo >= 0:
-                _paragraph(text, marked, lo, hi, body, out)
+                _paragraph(scope, text, marked, lo, hi, body, out)
                 lo = -1
             fence, fence_from = m[1], start
             continue
         if first == "#" and _HEADING.match(line):
             if lo >= 0:
-                _paragraph(text, marked, lo, hi, body, out)
+                _paragraph(scope, text, marked, lo, hi, body, out)
                 lo = -1
             strip_to(start, at)
             continue
         if (first.isdigit() or not first.isalnum()) and (m := _ITEM.match(line)) and (lo < 0 or in_list or text[lo:hi].rstrip()[-1] in f"{STERM}{ATERM}:："):
             if lo >= 0:
-                _paragraph(text, marked, lo, hi, body, out)
+                _paragraph(scope, text, marked, lo, hi, body, out)
             lo, body, in_list = start, start + m.end(), True
         elif lo < 0:
             lo = body = start
@@ -328,14 +393,15 @@ def sentence_units(text: str) -> list[tuple[int, int]]:
     if fence:
         strip_to(fence_from, len(text))
     if lo >= 0:
-        _paragraph(text, marked, lo, hi, body, out)
+        _paragraph(scope, text, marked, lo, hi, body, out)
     return out
 
 
-def split_sentences(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def split_sentences(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """``key, start_char, end_char``: one row for each sentence unit of each document, without outer white space.
 
-    A null or blank text has no units; a row that is repeated counts once. Work and memory follow one text at a time; the
+    A null or blank text has no units; a row that is repeated counts once. The column ``lang``, where there is one, states the
+    language, in whatever spelling; it may be null or wrong. Work and memory follow one text at a time; the
     only shuffle is of the narrow result.
     """
 
@@ -344,13 +410,14 @@ def split_sentences(documents: DataFrame, key: str = "doc_id", text: str = "text
             keys: list[int] = []
             starts: list[int] = []
             ends: list[int] = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for k, t, x in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 if t:
-                    for a, b in sentence_units(t):
+                    for a, b in sentence_units(t, x):
                         keys.append(k)
                         starts.append(a)
                         ends.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=[key, "start_char", "end_char"])
 
-    rows = documents.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)).filter(F.col(text).isNotNull())
+    stated = F.col(lang).cast("string") if lang in documents.columns else F.lit(None).cast("string")
+    rows = documents.select(F.col(key).cast("long").alias(key), F.col(text).alias(text), stated.alias("lang")).filter(F.col(text).isNotNull())
     return rows.mapInArrow(run, f"{key} bigint, start_char int, end_char int").distinct()

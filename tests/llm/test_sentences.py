@@ -45,6 +45,30 @@ def test_structure():
     assert [text[a:b] for a, b in sentence_units(text)] == ["# A. heading. Two", "First one.", "Second\none here.", "no punctuation at\nall", "- item one.", "More.", "- item two", "1. numb.", "Two.", "2) x", "```sol\na. b. C\n\nd\n```", "After.", "End", "Last", "~~~\nopen. Fence"]
 
 
+@pytest.mark.parametrize(
+    ("text", "lang", "units"),
+    [("Then a mind. Then left.", "en", 2), ("Then a mind. Then left.", None, 2), ("She looked in the ed. Then left.", "EN-us", 2), ("It was hr. Done.", "English", 2), ("It was hr. Done.", "de", 2), ("Es kostet mind. 5 Euro. Gut.", "de", 2), ("Es kostet mind. 5 Euro. Gut.", "en", 2), ("Hr. Falkner kam.", "de", 1), ("Hr. Falkner kam.", None, 1), ("Hr. Falkner kam.", "en", 2), ("The cap is low. La Sra. Velasco midió 5 de las 7.", "en", 2), ("ดร. สมชาย มา", "th", 2), ("ดร. สมชาย", "th", 1), ("قال د. فلان إن ذلك صحيح.", "ar", 1), ("Dr. Kim은 왔다.", "ko", 1)],
+)
+def test_abbreviations_by_language(text, lang, units):
+    """The words around an abbreviation show its language; the stated one decides where they do not."""
+    assert len(sentence_units(text, lang)) == units
+
+
+def test_pairs_over_many_open_marks():
+    """A mark finds its opening beyond any number of open ones, in linear time."""
+    inner = "„Das ist falsch. Halt! " + "(" * 30 + " Und. Nun“ ging er."
+    assert sentence_units(inner) == [(0, len(inner))]
+    text = "“" + "(" * 100_000 + "a. B.” C."
+    assert sentence_units(text) == [(0, len(text) - 3), (len(text) - 2, len(text))]
+
+
+def test_words_of_any_length():
+    """Initials of any number are one abbreviation; a long word before a stop is none."""
+    assert len(sentence_units("Die " + "x.".join("abcdefghijklmnopqrs") + "y. Ende")) <= 2
+    assert len(sentence_units("It is " + "word" * 40 + "etc. Then left.")) == 2
+    assert len(sentence_units("See A." * 1 + "B." * 40 + " Vell now.")) == 1
+
+
 def test_glued():
     text = "It is down.Plan A beats plan B. See a.b.C and X.sol."
     assert [text[a:b] for a, b in sentence_units(text)] == ["It is down.", "Plan A beats plan B.", "See a.b.C and X.sol."]

@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return shred.abi_params(shred.abi_nodes(table(spark, d, "abi_docs"))).select("abi_id", "item_no", "side", "param_path")
+    return shred.abi_params(shred.abi_nodes(table(spark, d, "abi_docs")), fields=False).select("abi_id", "item_no", "side", "param_path")
 
 
 def p3_params(spark: SparkSession, d: str) -> DataFrame:

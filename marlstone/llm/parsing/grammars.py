@@ -93,7 +93,7 @@ statement_in <- statement
 variable <- {var const} bind (',' bind)* / 'let' bind (',' bind)*
 bind <- (word / pattern) ('=' assign)?
 for_bind <- {var const let} (word / pattern)
-pattern <- '{' (prop_pattern (',' prop_pattern)*)? ','? '}' / '[' (element_pattern / ',')* ']'
+pattern@ <- '{' (prop_pattern (',' prop_pattern)*)? ','? '}' / '[' (element_pattern / ',')* ']'
 prop_pattern <- '...' (word / pattern) / key ':' target / word ('=' assign)?
 target <- (word / pattern) ('=' assign)?
 element_pattern <- '...' (word / pattern) / target
@@ -120,14 +120,14 @@ key <- name / STR / NUM / '[' assign ']'
 expr <- assign (',' assign)*
 assign@ <- arrow / 'yield' (!#nl ('*'? assign))? / target_left assign_op assign / conditional
 assign_op <- {= += -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??=}
-target_left <- word !more / '(' target_left ')' !more / start (tail &more)* ('.' (name / PRIVATE) / '[' expr ']') !more / pattern
+target_left@ <- word !more / '(' target_left ')' !more / start (tail &more)* ('.' (name / PRIVATE) / '[' expr ']') !more / pattern
 more <- {. ?. [ ( TEMPLATE HEAD}
 arrow <- ('async' !#nl)? (word / parameters) !#nl '=>' (block / assign)
 conditional <- unary (binary unary)* ('?' assign ':' assign)?
 binary <- {+ - * / % ** << >> >>> & | ^ && || ?? == != === !== < > <= >= instanceof in}
 unary <- {! ~ + - typeof void delete} unary / 'await' unary / {++ --} left / left (!#nl {++ --})? / PRIVATE &'in'
 left@ <- start tail*
-start <- 'new' ('.' word / new_target ('(' arguments ')')?) / 'import' ('.' word / &'(') / primary
+start@ <- 'new' ('.' word / new_target ('(' arguments ')')?) / 'import' ('.' word / &'(') / primary
 new_target <- 'new' new_target ('(' arguments ')')? / primary ('.' (name / PRIVATE) / '[' expr ']' / template)*
 tail <- '.' (name / PRIVATE) / '?.' ('(' arguments ')' / '[' expr ']' / name / PRIVATE / template) / '[' expr ']' / '(' arguments ')' / template
 arguments <- (argument (',' argument)*)? ','?

@@ -19,7 +19,8 @@ from marlstone.llm.parsing.peg import Recogniser, compile_grammar
 EXTENSIONS = {"sol": "solidity", "js": "javascript", "json": "json", "py": "python"}
 _LEXERS = {"solidity": lexers.solidity, "javascript": lexers.javascript, "json": lexers.json_tokens, "python": lexers.python}
 _GRAMMARS = {"solidity": grammars.SOLIDITY, "javascript": grammars.JAVASCRIPT, "json": grammars.JSON, "python": grammars.PYTHON}
-_DEPTH = 400_000
+#: Rules that one token can open at most, one within the other.
+_RULES_A_TOKEN = 40
 
 
 class Report(NamedTuple):
@@ -38,6 +39,8 @@ def _recogniser(language: str) -> Recogniser:
 
 def _parse(text: str, language: str) -> tuple[bool, int, lexers.Tokens]:
     tokens = _LEXERS[language](text)
+    # frames of the recogniser lie on the heap and their number follows the nesting, which the number of tokens bounds
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000 + _RULES_A_TOKEN * len(tokens.kinds)))
     end, far = _recogniser(language)(tokens.kinds, tokens.breaks)
     return end >= 0, far, tokens
 
@@ -46,23 +49,18 @@ def check_text(text: str, language: str) -> Report:
     """Parse ``text``. An empty or blank text is valid except as JSON.
 
     Causes: merge_conflict (markers outside of strings and comments), wrong_language (another grammar takes the whole text),
-    truncated (all that was read is fine, but the text ends too early, or a string or comment never closes), too_deep
-    (nesting beyond the parser's stack) and syntax.
+    truncated (all that was read is fine, but the text ends too early, or a string or comment never closes) and syntax.
+    Nesting of any depth is parsed.
     """
     if language != "json" and not text.strip("﻿ \t\r\n\f\v"):
         return Report(True, None, None, None)
-    if sys.getrecursionlimit() < _DEPTH:
-        sys.setrecursionlimit(_DEPTH)
-    try:
-        valid, far, tokens = _parse(text, language)
-    except RecursionError:
-        return Report(False, 0, 1, "too_deep")
+    valid, far, tokens = _parse(text, language)
     if valid:
         return Report(True, None, None, None)
     at = tokens.starts[far]
     if lexers.CONFLICT in tokens.kinds:
         cause = "merge_conflict"
-    elif any(_other(text, x) for x in _LEXERS if x != language):
+    elif any(_parse(text, x)[0] for x in _LEXERS if x != language and text.strip()):
         cause = "wrong_language"
     elif tokens.kinds[far] in (lexers.END, lexers.OPEN) or (language == "python" and tokens.kinds[far] in ("NEWLINE", "DEDENT") and far >= len(tokens.kinds) - 4):
         cause = "truncated"
@@ -71,13 +69,6 @@ def check_text(text: str, language: str) -> Report:
     return Report(False, at, text.count("\n", 0, at) + 1, cause)
 
 
-def _other(text: str, language: str) -> bool:
-    try:
-        return bool(text.strip()) and _parse(text, language)[0]
-    except RecursionError:
-        return False
-
-
 _SCHEMA = "file_id bigint, repo string, path string, language string, valid boolean, furthest int, line int, cause string"
 _ARROW = pa.schema([("file_id", pa.int64()), ("repo", pa.string()), ("path", pa.string()), ("language", pa.string()), ("valid", pa.bool_()), ("furthest", pa.int32()), ("line", pa.int32()), ("cause", pa.string())])
 

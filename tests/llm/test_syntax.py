@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import ast
 import json
+import time
 import warnings
 
 import pandas as pd
@@ -100,6 +101,22 @@ def test_whole_table(spark):
             assert reports[r.file_id].valid == want, r.path
 
 
+@pytest.mark.parametrize(
+    ("language", "head", "opening", "inner", "closing", "end"),
+    [("javascript", "x = ", "[", "1", "]", ";"), ("javascript", "x = ", "{a: ", "1", "}", ";"), ("javascript", "x = ", "function () { return ", "1", "}", ";"), ("javascript", "", "((a = ", "1", ") => 1)", ";"), ("solidity", "contract A { function f() public { x = ", "(", "1", ")", "; } }"), ("python", "x = ", "[", "1", "]", "\n"), ("json", "", "[", "", "]", "")],
+)
+def test_deep_nesting_is_linear(language, head, opening, inner, closing, end):
+    """Nesting of 30,000 levels is parsed, in time that grows with the length (squared growth would take half an hour)."""
+    took = []
+    for n in (3_000, 30_000):
+        text = head + opening * n + inner + closing * n + end
+        begin = time.process_time()
+        assert syntax.check_text(text, language).valid
+        assert not syntax.check_text(text + "]", language).valid
+        took.append(time.process_time() - begin)
+    assert took[1] < 40 * max(took[0], 0.05)
+
+
 SCHEMA = "file_id bigint, repo string, path string, content string, language string, valid int"
 
 

@@ -51,8 +51,7 @@ def p2_imports(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    best = best_records(table(spark, d, "cache_entries"), table(spark, d, "scan_origins"))
-    return best.select("group_vuln_id", "title_vuln_id", "line_vuln_id", "confidence_vuln_id", "recommendation_vuln_id")
+    return best_records(table(spark, d, "cache_entries"), table(spark, d, "scan_origins"), values=False)
 
 
 def p4_records(spark: SparkSession, d: str) -> DataFrame:

@@ -28,62 +28,64 @@ def bare(value: Column) -> Column:
     return F.regexp_replace(value, r"^(?:[\s\p{Z}]|\.{2,}|…)+|(?:[\s\p{Z}]|\.{2,}|…|\[…\]|\[\.{3}\])+$", "")
 
 
-def cut_off_values(values: DataFrame) -> DataFrame:
-    """Of distinct ``(grp, field, bare)`` rows, those that are the beginning of a longer value of the same grp and field.
+def without_cut_off(values: DataFrame) -> DataFrame:
+    """Of distinct ``(grp, field, bare)`` rows (other columns stay), those that are not the beginning of a longer value of the
+    same grp and field.
 
     In code-unit order the values that begin with v follow v directly, so one look at the next value decides. The order runs
-    within rows that share the first letters, which splits a large group; shorter values meet the beginnings of the others
-    in a semi join.
+    within rows that share the first letters, which splits a large group. A shorter value is looked up among the beginnings
+    of the others, which are made only where a grp and field have such a value.
     """
-    head = F.substring("bare", 1, _EDGE)
-    w = Window.partitionBy("grp", "field", head).orderBy("bare")
-    after = F.lead("bare").over(w)
-    long = values.filter(F.length("bare") >= _EDGE).withColumn("_next", after).filter(F.expr("startswith(_next, bare)")).select("grp", "field", "bare")
-    short = values.filter(F.length("bare") < _EDGE)
-    starts = (
-        values.filter(F.length("bare") > 1)
-        .select("grp", "field", F.explode(F.expr(f"transform(sequence(1, least({_EDGE - 1}, length(bare) - 1)), k -> substring(bare, 1, k))")).alias("bare"))
-        .distinct()
-    )
-    return long.unionByName(short.join(starts, ["grp", "field", "bare"], "left_semi"))
+    keys = ["grp", "field"]
+    w = Window.partitionBy(*keys, F.substring("bare", 1, _EDGE)).orderBy("bare")
+    is_short = F.length("bare") < _EDGE
+    marked = values.withColumn("_next", F.lead("bare").over(w)).filter(is_short | ~F.coalesce(F.expr("startswith(_next, bare)"), F.lit(False))).drop("_next")
+    short = values.filter(is_short).select(*keys, "bare")
+    beside = values.select(*keys, "bare").filter(F.length("bare") > 1).join(short.select(*keys).distinct(), keys, "left_semi")
+    starts = beside.select(*keys, F.explode(F.expr(f"transform(sequence(1, least({_EDGE - 1}, length(bare) - 1)), k -> substring(bare, 1, k))")).alias("bare")).distinct()
+    return marked.join(starts.join(short, [*keys, "bare"], "left_semi"), [*keys, "bare"], "left_anti")
 
 
 def cached_records(entries: DataFrame, origins: DataFrame) -> DataFrame:
-    """One row for each distinct cached finding, with the key of its group, its trust and its scan time.
+    """One row for each cached finding, with the key of its group, its trust and its scan time.
 
     Rows without a path, category, snippet or vuln_id name no finding and are left out; an origin that is not in ``origins``
-    has the lowest trust. A vuln_id that is repeated counts once.
+    has the lowest trust. Repeated rows stay, as all that follows takes the largest of them.
     """
     trust = origins.groupBy("origin").agg(F.max("trust").alias("trust"))
     v = entries.select("file_path", "origin", "scan_timestamp", F.explode("vulnerabilities").alias("v")).filter("v is not null")
     flat = v.select(
-        F.sha2(F.to_json(F.array(canonical_path(F.col("file_path")), F.col("v.category"), F.regexp_replace("v.code_snippet", r"[\s\p{Z}]+", ""))), 256).alias("grp"),
+        F.unhex(F.md5(F.to_json(F.array(canonical_path(F.col("file_path")), F.col("v.category"), F.regexp_replace("v.code_snippet", r"[\s\p{Z}]+", ""))).cast("binary"))).alias("grp"),
         "origin", "scan_timestamp", F.col("v.vuln_id").alias("vuln_id"), F.col("v.title").alias("title"), F.col("v.line_number").alias("line"), F.col("v.confidence").alias("confidence"), F.col("v.recommendation").alias("recommendation"),
     ).filter(F.col("vuln_id").isNotNull() & F.col("v.category").isNotNull() & F.col("v.code_snippet").isNotNull() & F.col("file_path").isNotNull())
-    once = flat.withColumn("_n", F.row_number().over(Window.partitionBy("vuln_id").orderBy(F.col("scan_timestamp").desc_nulls_last(), "grp", "origin"))).filter("_n = 1").drop("_n")
-    return once.join(trust, "origin", "left").withColumn("trust", F.coalesce("trust", F.lit(-2147483648)))
+    return flat.join(trust, "origin", "left").withColumn("trust", F.coalesce("trust", F.lit(-2147483648)))
 
 
-def best_records(entries: DataFrame, origins: DataFrame) -> DataFrame:
-    """For each finding with two or more records: the record that supplies each field, and the value.
+def best_records(entries: DataFrame, origins: DataFrame, values: bool = True) -> DataFrame:
+    """For each finding with two or more records: the record that supplies each field, and the value (if ``values``).
 
     Columns: group_vuln_id, then for title, line, confidence and recommendation ``<field>_vuln_id`` (0 if none can) and
     ``<field>``. Completeness decides first (a value that is absent, a stand-in or cut off cannot supply), then trust, then
-    the latest scan, then the smallest vuln_id; ranking is by window, whose per-task limit keeps a hot group small.
+    the latest scan, then the smallest vuln_id. Each record becomes three rows: its title, its recommendation and the rest.
+    Equal values are brought together with their best record before and after the first shuffle of the texts, the cut-off ones
+    are dropped in a window, and the best of each field is the largest (trust, scan, vuln_id) of the group; every step is
+    split below the group or combined on the map side, so a hot group stays spread.
     """
     records = cached_records(entries, origins)
-    sizes = records.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("vuln_id").alias("group_vuln_id")).filter("n > 1")
-    long = records.select(
-        "grp", "trust", "scan_timestamp", "vuln_id",
-        F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in FIELDS))).alias("f"),
-    ).select("grp", "trust", "scan_timestamp", "vuln_id", "f.field", "f.value")
-    can = long.filter(F.when(F.col("field") == "line", F.col("value").cast("long") >= 1).otherwise(usable_text(F.col("value"))))
-    can = can.withColumn("bare", F.when(F.col("field").isin("title", "recommendation"), bare(F.col("value"))))
-    texts = can.filter("bare is not null")
-    cut = cut_off_values(texts.select("grp", "field", "bare").distinct())
-    whole = texts.join(cut, ["grp", "field", "bare"], "left_anti").unionByName(can.filter("bare is null"))
-    order = Window.partitionBy("grp", "field").orderBy(F.col("trust").desc(), F.col("scan_timestamp").desc_nulls_last(), F.col("vuln_id").asc())
-    top = whole.withColumn("_r", F.row_number().over(order)).filter("_r = 1")
-    wide = top.groupBy("grp").agg(*(F.max(F.when(F.col("field") == f, F.col(c))).alias(f + s) for f in FIELDS for c, s in (("vuln_id", "_vuln_id"), ("value", ""))))
-    out = sizes.join(wide, "grp", "left")
-    return out.select("group_vuln_id", *(c for f in FIELDS for c in (F.coalesce(f"{f}_vuln_id", F.lit(0)).cast("long").alias(f"{f}_vuln_id"), F.col(f))))
+
+    def ranked(field: str, usable: Column) -> Column:
+        parts = [F.col("trust"), F.col("scan_timestamp").alias("at"), (-F.col("vuln_id")).alias("less"), *([F.col(field).cast("string").alias("value")] if values else [])]
+        return F.when(usable, F.struct(*parts))
+
+    best = {f: ranked(f, usable_text(F.col(f))) for f in ("title", "confidence", "recommendation")} | {"line": ranked("line", F.col("line") >= 1)}
+    none = F.lit(None)
+    row = lambda field, bare_value, own, rest: F.struct(F.lit(field).alias("field"), bare_value.alias("bare"), own.alias("best"), *((x if rest else none.cast(t)).alias(n) for n, x, t in (("line", best["line"], kind), ("confidence", best["confidence"], kind), ("id", F.col("vuln_id"), "bigint"))))
+    kind = records.select(best["title"].alias("b")).schema["b"].dataType
+    rows = F.array_compact(F.array(*(F.when(best[f].isNotNull(), row(f, bare(F.col(f)), best[f], False)) for f in ("title", "recommendation")), row("", none.cast("string"), none.cast(kind), True)))
+    long = records.select("grp", F.explode(rows).alias("r")).select("grp", "r.*")
+    texts = long.groupBy("grp", "field", "bare").agg(F.max("best").alias("best"), F.max("line").alias("line"), F.max("confidence").alias("confidence"), F.min("id").alias("first"), F.max("id").alias("last"))
+    whole = without_cut_off(texts.filter("field <> ''").select("grp", "field", "bare", "best")).select("grp", "field", "best", *(none.cast(t).alias(n) for n, t in (("line", kind), ("confidence", kind), ("first", "bigint"), ("last", "bigint"))))
+    both = whole.unionByName(texts.filter("field = ''").drop("bare"))
+    wide = both.groupBy("grp").agg(*(F.max(F.when(F.col("field") == f, F.col("best"))).alias(f) for f in ("title", "recommendation")), F.max("line").alias("line"), F.max("confidence").alias("confidence"), F.min("first").alias("group_vuln_id"), F.max("last").alias("_last")).filter("group_vuln_id < _last")
+    supplied = lambda f: [F.coalesce(-F.col(f)["less"], F.lit(0)).alias(f"{f}_vuln_id"), *([F.col(f)["value"].alias(f)] if values else [])]
+    return wide.select("group_vuln_id", *(c for f in FIELDS for c in supplied(f)))

@@ -1,7 +1,7 @@
 """Problem 6: containers of fixed capacity, filled by optimal length buckets.
 
 A driver-side plan is made from the histogram of item sizes, which has at most ``capacity`` bins whatever the corpus. Dynamic
-programming chooses the bucket boundaries with the least padding. Batches with a token budget of one capacity form inside a
+programming chooses the bucket boundaries with the least padding, exactly. Batches with a token budget of one capacity form inside a
 bucket, from the largest down; the room that a batch leaves is topped up from smaller buckets, as items of more than half a
 capacity would otherwise leave the rest of their container empty. Items get their place from their rank in their bucket.
 """
@@ -21,9 +21,6 @@ from marlstone.llm.tokens import TOKENIZER, token_counts
 from marlstone.session import cut
 
 BUCKETS = 128
-_RESOLUTION = 2048
-_MAX_PACKS = 1000
-_MAX_CAPACITY = 4_000_000
 _ROWS_A_SALT = 50_000
 
 
@@ -38,34 +35,54 @@ class Plan(NamedTuple):
     containers: int
 
 
-def optimal_bounds(histogram: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+def _best_cuts(best: np.ndarray, ends: np.ndarray, count: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every j the least of best[i] + the padding of the sizes behind i up to j raised to ends[j], over i < j, and the i.
+
+    The smallest best i never falls as j grows, so the middle j of a stretch splits its candidates between its halves: all
+    stretches of one level are scanned together, in about 2 m steps a level.
+    """
+    m = len(ends)
+    lower, pick = np.full(m, np.inf), np.full(m, -1, dtype=np.int64)
+    lo, hi = np.array([1]), np.array([m - 1])  # stretches of j, both ends included
+    first, last = np.array([0]), np.array([m - 2])  # their candidates
+    while len(lo):
+        mid = (lo + hi) // 2
+        to = np.minimum(last, mid - 1)
+        n = to - first + 1
+        at = np.repeat(np.cumsum(n) - n, n)
+        i = np.arange(n.sum()) - at + np.repeat(first, n)
+        j = np.repeat(mid, n)
+        total = best[i] + ends[j] * (count[j + 1] - count[i + 1]) - (weight[j + 1] - weight[i + 1])
+        least = np.minimum.reduceat(total, np.cumsum(n) - n)
+        hit = np.flatnonzero(total == np.repeat(least, n))
+        owner = np.searchsorted(np.cumsum(n), hit, "right")
+        chosen = i[hit[np.unique(owner, return_index=True)[1]]]
+        lower[mid], pick[mid] = least, chosen
+        left, right = lo < mid, mid < hi
+        lo, hi, first, last = (np.concatenate(x) for x in ((lo[left], mid[right] + 1), (mid[left] - 1, hi[right]), (first[left], chosen[right]), (chosen[left], last[right])))
+    return lower, pick
+
+
+def optimal_bounds(sizes: np.ndarray, counts: np.ndarray, capacity: int, buckets: int = BUCKETS) -> np.ndarray:
     """Upper ends of at most ``buckets`` buckets that minimise the padding when every size is raised to its upper end.
 
-    ``histogram[s]`` is the number of items of size s. Sizes are taken in steps of a 2048th of the capacity. The last end is
-    always the capacity, so every size has a bucket.
+    ``counts[k]`` items have size ``sizes[k]`` (ascending). The last end is always the capacity, so every size has a bucket.
     """
-    capacity = len(histogram) - 1
-    step = -(-capacity // _RESOLUTION)
-    ends = np.unique(np.minimum(-(-np.maximum(np.flatnonzero(histogram), 1) // step) * step, capacity))
+    ends = np.unique(np.maximum(sizes, 1)).astype(np.int64)
     if not len(ends) or ends[-1] != capacity:
         ends = np.append(ends, capacity)
     if len(ends) <= buckets:
         return ends
-    at = np.searchsorted(ends, np.maximum(np.arange(capacity + 1), 1))
-    count = np.concatenate([[0], np.cumsum(np.bincount(at, histogram, len(ends)))])
-    weight = np.concatenate([[0], np.cumsum(np.bincount(at, histogram * ends[at], len(ends)))])
-    m = len(ends)
-    # cost[i, j]: padding of the sizes i..j raised to ends[j]
-    cost = ends[None, :] * (count[None, 1:] - count[:-1, None]) - (weight[None, 1:] - weight[:-1, None])
-    cost[np.tril_indices(m, -1)] = np.inf
-    best, cuts = cost[0].copy(), []
+    at = np.searchsorted(ends, np.maximum(sizes, 1))
+    own = np.bincount(at, counts, len(ends))
+    count, weight = np.concatenate([[0], np.cumsum(own)]), np.concatenate([[0], np.cumsum(own * ends)])
+    best = ends * count[1:] - weight[1:]
+    cuts = []
     for _ in range(buckets - 1):
-        total = best[:-1, None] + cost[1:, :]
-        pick = np.argmin(total, axis=0)
-        lower = total[pick, np.arange(m)]
+        lower, pick = _best_cuts(best, ends, count, weight)
         cuts.append(np.where(lower < best, pick, -1))
         best = np.minimum(lower, best)
-    chosen, j = [m - 1], m - 1
+    chosen, j = [len(ends) - 1], len(ends) - 1
     for layer in reversed(cuts):
         if layer[j] >= 0:
             j = int(layer[j])
@@ -73,11 +90,10 @@ def optimal_bounds(histogram: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     return ends[chosen[::-1]]
 
 
-def make_plan(histogram: np.ndarray, buckets: int = BUCKETS) -> Plan:
-    """Bucket boundaries and runs of equal batches for a histogram of sizes 0..capacity."""
-    capacity = len(histogram) - 1
-    bounds = optimal_bounds(histogram.astype(float), buckets)
-    left = np.bincount(np.searchsorted(bounds, np.arange(capacity + 1)), histogram, len(bounds)).astype(np.int64)
+def make_plan(sizes: np.ndarray, counts: np.ndarray, capacity: int, buckets: int = BUCKETS) -> Plan:
+    """Bucket boundaries and runs of equal batches for ``counts[k]`` items of size ``sizes[k]``, 0 to capacity."""
+    bounds = optimal_bounds(sizes, counts.astype(float), capacity, buckets)
+    left = np.bincount(np.searchsorted(bounds, sizes), counts, len(bounds)).astype(np.int64)
     used = np.zeros_like(left)
     runs: list[tuple[int, int, int, int]] = []
     containers, b = 0, len(bounds) - 1
@@ -123,23 +139,17 @@ def pack_documents(documents: DataFrame, pack_sizes: DataFrame, key: str = "doc_
     A document of up to capacity_tokens tokens lies whole in one container (part_no 0); a longer one fills containers of its
     own, and its rest is an item like any other. Null and empty texts are items of 0 tokens. Repeated rows count once. Packs
     whose name or capacity is null or whose capacity is below 1 are left out; empty tables give no rows. The packs become
-    literals of the plan, so their number is checked (at most 1000), as is their capacity (at most four million).
+    literals of the plan; the driver holds the sizes that occur and their counts, whatever the capacity.
     """
     spark = documents.sparkSession
-    rows = pack_sizes.select("pack_name", F.col("capacity_tokens").cast("long").alias("capacity")).filter("pack_name is not null and capacity >= 1").groupBy("pack_name").agg(F.max("capacity").alias("capacity")).limit(_MAX_PACKS + 1).collect()
-    if len(rows) > _MAX_PACKS:
-        raise ValueError(f"more than {_MAX_PACKS} container sizes")
-    if any(r.capacity > _MAX_CAPACITY for r in rows):
-        raise ValueError(f"a capacity beyond {_MAX_CAPACITY} tokens")  # the histogram has one bin for each size
+    rows = pack_sizes.select("pack_name", F.col("capacity_tokens").cast("long").alias("capacity")).filter("pack_name is not null and capacity >= 1").groupBy("pack_name").agg(F.max("capacity").alias("capacity")).collect()
     if not rows:
         return spark.createDataFrame([], f"pack_name string, container_id bigint, {key} bigint, part_no int, first_token bigint, n_tokens bigint")
     counts = cut(token_counts(documents, key, text, tokenizer))
     items = _items(counts, [tuple(r) for r in rows], key)
-    sizes: dict[str, np.ndarray] = {r.pack_name: np.zeros(r.capacity + 1, dtype=np.int64) for r in rows}
-    for r in items.groupBy("pack_name", "size").count().collect():  # at most capacity + 1 rows a pack
-        sizes[r["pack_name"]][r["size"]] = r["count"]
-    plans = {name: make_plan(h, buckets) for name, h in sizes.items()}
-    salts = max(1, -(-max((int(h.max()) for h in sizes.values()), default=1) // _ROWS_A_SALT))
+    seen = items.groupBy("pack_name", "size").agg(F.count(F.lit(1)).alias("n")).orderBy("pack_name", "size").toPandas()
+    plans = {r.pack_name: make_plan(own["size"].to_numpy(np.int64), own["n"].to_numpy(np.int64), r.capacity) for r in rows for own in [seen[seen["pack_name"] == r.pack_name]]}
+    salts = max(1, -(-int(seen["n"].max() if len(seen) else 1) // _ROWS_A_SALT))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The bucket of each item."""
@@ -176,8 +186,9 @@ def pack_documents(documents: DataFrame, pack_sizes: DataFrame, key: str = "doc_
 
 
 def container_fill(packed: DataFrame, pack_sizes: DataFrame) -> DataFrame:
-    """``pack_name, containers, items, tokens, fill``: the share of all room that is used."""
+    """``pack_name, containers, least, items, tokens, fullest, fill``: the containers used, the number that no packing can
+    undercut (that of the tokens by the capacity), and the share of all room that is used."""
     packs = pack_sizes.groupBy("pack_name").agg(F.max("capacity_tokens").alias("capacity"))
     used = packed.groupBy("pack_name", "container_id").agg(F.count(F.lit(1)).alias("items"), F.sum("n_tokens").alias("tokens"))
     totals = used.groupBy("pack_name").agg(F.count(F.lit(1)).alias("containers"), F.sum("items").alias("items"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"))
-    return totals.join(packs, "pack_name").select("pack_name", "containers", "items", "tokens", "fullest", (F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("fill"))
+    return totals.join(packs, "pack_name").select("pack_name", "containers", F.ceil(F.col("tokens") / F.col("capacity")).alias("least"), "items", "tokens", "fullest", (F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("fill"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlstone.functions.paths import canonical_path
+from marlstone.session import cut
 
 # What stands in for a missing value (compared without case and outer white space).
 STAND_INS = ("", "-", "--", "---", ".", "..", "...", "…", "?", "??", "???", "n/a", "na", "n.a.", "none", "null", "nil", "nan", "unknown", "undefined", "unspecified", "not available", "not applicable", "not set", "tbd", "tba", "todo", "to do", "fixme", "see above", "see below", "as above", "same as above", "same", "ditto", "placeholder", "empty", "missing", "<none>", "<null>", "<empty>", "(none)", "(null)", "(empty)", "[none]", "xxx", "x")
@@ -83,7 +84,7 @@ def best_records(entries: DataFrame, origins: DataFrame, values: bool = True) ->
     kind = records.select(best["title"].alias("b")).schema["b"].dataType
     rows = F.array_compact(F.array(*(F.when(best[f].isNotNull(), row(f, bare(F.col(f)), best[f], False)) for f in ("title", "recommendation")), row("", none.cast("string"), none.cast(kind), True)))
     long = records.select("grp", F.explode(rows).alias("r")).select("grp", "r.*")
-    texts = long.groupBy("grp", "field", "bare").agg(F.max("best").alias("best"), F.max("line").alias("line"), F.max("confidence").alias("confidence"), F.min("id").alias("first"), F.max("id").alias("last"))
+    texts = cut(long.groupBy("grp", "field", "bare").agg(F.max("best").alias("best"), F.max("line").alias("line"), F.max("confidence").alias("confidence"), F.min("id").alias("first"), F.max("id").alias("last")))
     whole = without_cut_off(texts.filter("field <> ''").select("grp", "field", "bare", "best")).select("grp", "field", "best", *(none.cast(t).alias(n) for n, t in (("line", kind), ("confidence", kind), ("first", "bigint"), ("last", "bigint"))))
     both = whole.unionByName(texts.filter("field = ''").drop("bare"))
     wide = both.groupBy("grp").agg(*(F.max(F.when(F.col("field") == f, F.col("best"))).alias(f) for f in ("title", "recommendation")), F.max("line").alias("line"), F.max("confidence").alias("confidence"), F.min("first").alias("group_vuln_id"), F.max("last").alias("_last")).filter("group_vuln_id < _last")

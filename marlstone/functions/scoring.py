@@ -33,13 +33,19 @@ def cvss_base_score(vector: Column) -> Column:
     return F.when(total.isNull(), None).when(impact <= 0, F.lit(0.0)).otherwise(up)
 
 
-def poly_hash(text: Column, bits: int = 32) -> Column:
-    """h = 31 h + byte over the UTF-8 bytes, modulo 2^bits (at most 64), as DECIMAL(38, 0)."""
-    wide = F.lit(str(2**bits)).cast("decimal(38,0)")
-    digits = F.hex(F.encode(text, "UTF-8"))
-    octets = F.transform(F.sequence(F.lit(0), F.octet_length(text) - 1), lambda k: F.conv(F.substring(digits, 2 * k + 1, F.lit(2)), 16, 10).cast("decimal(38,0)"))
-    fold = F.aggregate(octets, F.lit(0).cast("decimal(38,0)"), lambda h, b: F.pmod((h * F.lit(31).cast("decimal(3,0)") + b).cast("decimal(38,0)"), wide).cast("decimal(38,0)"))
-    return F.when(F.octet_length(text) == 0, F.lit(0).cast("decimal(38,0)")).otherwise(fold)
+def poly_hash(text: Column) -> Column:
+    """h = 31 h + byte over the UTF-8 bytes, modulo 2^64, as STRUCT<high, low> of two BIGINT halves of 32 bits; low alone is the
+    hash modulo 2^32. Null for null."""
+    mask = F.lit(0xFFFFFFFF)
+    # one character for each byte, so that its code is the byte
+    octets = F.split(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), "")
+    zero = F.struct(F.lit(0).cast("long").alias("high"), F.lit(0).cast("long").alias("low"))
+
+    def step(h: Column, c: Column) -> Column:
+        low = h["low"] * 31 + F.ascii(c)
+        return F.struct((h["high"] * 31 + F.shiftright(low, 32)).bitwiseAND(mask).alias("high"), low.bitwiseAND(mask).alias("low"))
+
+    return F.when(text == "", zero).when(text.isNotNull(), F.aggregate(octets, zero, step))
 
 
 def severity_rank(severity: Column) -> Column:

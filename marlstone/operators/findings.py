@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,16 +15,12 @@ from pyspark.sql.window import Window
 from marlstone.functions.scoring import poly_hash, severity_weight
 
 
-def with_seq(hits: DataFrame, key: str) -> DataFrame:
-    """Adds ``seq``, the ordinal of emission within the key: rule by rule, line by line."""
-    return hits.withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy("rule_no", "line_no")))
-
-
 def fingerprint(category: Column, title: Column, line_no: Column, snippet: Column) -> Column:
     """category:title:line:hash of the snippet, hexadecimal."""
-    h = poly_hash(snippet, 64)
-    high, low = F.floor(h / F.lit(2**32).cast("decimal(38,0)")).cast("long"), F.pmod(h, F.lit(2**32).cast("decimal(38,0)")).cast("long")
-    return F.concat_ws(":", category, title, line_no.cast("string"), F.lower(F.concat(F.lpad(F.hex(high), 8, "0"), F.lpad(F.hex(low), 8, "0"))))
+    half = lambda h, part: F.lower(F.lpad(F.hex(h[part]), 8, "0"))
+    # over an array of one, so that both halves come from one fold
+    digits = F.transform(F.array(poly_hash(snippet)), lambda h: F.concat(half(h, "high"), half(h, "low")))
+    return F.concat_ws(":", category, title, line_no.cast("string"), F.element_at(digits, 1))
 
 
 def drop_near(new: DataFrame, base: DataFrame, key: str, band: int = 3) -> DataFrame:
@@ -55,51 +50,60 @@ def dedup_adjacent(findings: DataFrame, key: str) -> DataFrame:
 
 def greedy_merge(rows: Sequence[tuple[int, str, int, int]], window: int) -> list[int]:
     """The seq of the rows (seq, group, line, rank) that stay: a row within ``window`` lines of a kept one of its group goes
-    unless it ranks higher, in which case it takes that one's place."""
-    kept: dict[str, list[tuple[int, str, int, int]]] = {}
+    unless it ranks higher, in which case it takes that one's place. Of several kept ones the first kept decides.
+
+    Kept rows lie in buckets of window + 1 lines, so a row looks at three buckets, however many are kept.
+    """
+    width = window + 1
+    kept: list[tuple[int, str, int, int]] = []
+    buckets: dict[tuple[str, int], list[int]] = {}
     for row in sorted(rows):
-        own = kept.setdefault(row[1], [])
-        for k, other in enumerate(own):
-            if abs(other[2] - row[2]) <= window:
-                if row[3] > other[3]:
-                    own[k] = row
-                break
-        else:
-            own.append(row)
-    return sorted(r[0] for own in kept.values() for r in own)
-
-
-def dedup_greedy(findings: DataFrame, key: str, window: int = 30) -> DataFrame:
-    """``key, seq, category, line_no, rank`` after the order-dependent merge of findings of one category within ``window``
-    lines. It is not transitive, so it is a fold over the findings of one file, which the size cap of a file bounds: the rows
-    are brought together by key and sorted, and the fold runs over whole partitions."""
-    rows = findings.select(key, "seq", "category", "line_no", "rank")
-    names = rows.columns
+        _, group, line, rank = row
+        home = line // width
+        near = [k for d in (-1, 0, 1) for k in buckets.get((group, home + d), ()) if abs(kept[k][2] - line) <= window]
+        if not near:
+            buckets.setdefault((group, home), []).append(len(kept))
+            kept.append(row)
+        elif rank > kept[first := min(near)][3]:
+            buckets[group, kept[first][2] // width].remove(first)
+            buckets.setdefault((group, home), []).append(first)
+            kept[first] = row
+    return sorted(r[0] for r in kept)
+
+
+def dedup_greedy(findings: DataFrame, key: str, window: int = 30, group: Column | None = None) -> DataFrame:
+    """``key, seq, category, line_no, rank`` after the order-dependent merge of findings of one group within ``window`` lines.
+    The group of a finding is its category, or ``group``, which maps several categories to one.
+
+    The merge is not transitive, so it is a fold in order of seq. Groups do not meet in it: rows are brought together by key
+    and group and sorted, and the fold runs over whole partitions with one open (key, group) at a time.
+    """
+    rows = findings.select(key, (F.col("category") if group is None else group).alias("_group"), "seq", "category", "line_no", "rank")
+    out = rows.drop("_group").schema
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_key, held = None, []
+        open_key, held, schema = None, [], None
 
         def close() -> list[tuple]:
-            stay = set(greedy_merge([r[1:] for r in held], window))
-            return [r for r in held if r[1] in stay]
+            stay = set(greedy_merge([(r[2], "", r[4], r[5]) for r in held], window))
+            return [(r[0], *r[2:]) for r in held if r[2] in stay]
 
-        def batch_of(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) or [[]] * len(names)
+        def batch_of(done: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*done, strict=True)) or [[]] * len(schema)
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-        schema = None
         for batch in batches:
-            schema, out = batch.schema, []
+            schema, done = pa.schema([f for f in batch.schema if f.name != "_group"]), []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != open_key:
-                    out += close()
-                    open_key, held = row[0], []
+                if row[:2] != open_key:
+                    done += close()
+                    open_key, held = row[:2], []
                 held.append(row)
-            yield batch_of(out, schema)
+            yield batch_of(done)
         if schema is not None:
-            yield batch_of(close(), schema)
+            yield batch_of(close())
 
-    return rows.repartition(key).sortWithinPartitions(key, "seq").mapInArrow(fold, rows.schema)
+    return rows.repartition(key, "_group").sortWithinPartitions(key, "_group", "seq").mapInArrow(fold, out)
 
 
 def drop_covered(findings: DataFrame, key: str, general: Column) -> DataFrame:
@@ -109,35 +113,75 @@ def drop_covered(findings: DataFrame, key: str, general: Column) -> DataFrame:
 
 
 def best_matches(left: DataFrame, right: DataFrame, key: str, least: float = 0.7) -> DataFrame:
-    """Pairs (key, left_id, right_id, score) by greedy one-to-one choice: left rows in order of id each take the best free
-    right row above ``least``; ties go to the smaller right id. Candidates come from an equi-join on the key."""
-    scored = match_scores(left, right, key).filter(F.col("score") > least)
+    """``key, left_id, right_id, score``: greedy one-to-one choice: left rows in order of id each take the best free right row
+    above ``least``; ties go to the smaller right id. Rows of either side without a partner come with nulls.
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: set[int] = set()
-        out = []
-        for _, own in pdf.sort_values(["left_id", "score", "right_id"], ascending=[True, False, True]).groupby("left_id", sort=True):
-            for r in own.itertuples():
-                if r.right_id not in taken:
-                    taken.add(r.right_id)
-                    out.append(r[1:])
-                    break
-        return pd.DataFrame(out, columns=pdf.columns)
+    The choice of one left row changes what is left for the next, so it is a fold over the candidates of one key in order; only
+    candidates above ``least`` take part, one key is open at a time, and of it the taken right ids are held.
+    """
+    scored = match_scores(left, right, key).filter(F.col("score") > least)
 
-    return scored.groupBy(key).applyInPandas(pick, scored.schema)
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, taken, placed = None, set(), None
+        for batch in batches:
+            keep = []
+            for n, (k, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                if k != open_key:
+                    open_key, taken, placed = k, set(), None
+                if a != placed and b not in taken:
+                    taken.add(b)
+                    placed = a
+                    keep.append(n)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    pairs = scored.repartition(key).sortWithinPartitions(key, "left_id", F.col("score").desc(), "right_id").mapInArrow(pick, scored.schema)
+    ours = left.select(key, F.col("id").alias("left_id")).distinct().join(pairs, [key, "left_id"], "left")
+    theirs = right.select(key, F.col("id").alias("right_id")).distinct().join(pairs.select(key, "right_id"), [key, "right_id"], "left_anti")
+    return ours.select(key, "left_id", "right_id", "score").unionByName(theirs.select(key, F.lit(None).cast(dict(pairs.dtypes)["left_id"]).alias("left_id"), "right_id", F.lit(None).cast("double").alias("score")))
 
 
 def match_scores(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """``key, left_id, right_id, score``: 0.4 for the same category, up to 0.3 for near lines, 0.3 times the Jaccard
-    similarity of the title words of more than three bytes. Both sides have key, id, category, line_no and title."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda x: F.octet_length(x) > 3))
-    side = lambda df, p: df.select(key, *(F.col(c).alias(f"{p}_{c}") for c in ("id", "category", "line_no")), words(F.col("title")).alias(f"{p}_words"))
-    j = side(left, "left").join(side(right, "right"), key)
+    """``key, left_id, right_id, score``: 0.4 for the same category, 0.3 for the same line, 0.2 up to 5 and 0.1 up to 20 lines
+    apart, and 0.3 times the Jaccard similarity of the title words (parted by blanks) of more than three bytes. Both sides have
+    key, id, category, line_no and title; a null category equals none, a null line is near none.
+
+    Only pairs of one category within 20 lines are made, by an equality on buckets of lines: without the category no pair
+    scores more than 0.6, without a near line none more than 0.7, so every pair above 0.7 is among them.
+    """
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda x: F.octet_length(x) > 3))
+    side = lambda df, p: df.select(key, F.col("category").alias("_c"), *(F.col(c).alias(f"{p}_{c}") for c in ("id", "line_no")), words(F.coalesce("title", F.lit(""))).alias(f"{p}_words"))
+    home = F.floor(F.col("left_line_no") / 21)
+    near = F.explode(F.array(*(F.floor(F.col("right_line_no") / 21) + d for d in (-1, 0, 1))))
+    j = side(left, "left").withColumn("_b", home).join(side(right, "right").withColumn("_b", near), [key, "_c", "_b"])
     common, total = F.size(F.array_intersect("left_words", "right_words")), F.size(F.array_union("left_words", "right_words"))
     gap = F.abs(F.col("left_line_no") - F.col("right_line_no"))
-    near = F.when(gap == 0, 0.3).when(gap <= 5, 0.2).when(gap <= 10, 0.1).otherwise(0.0)
-    score = F.when(F.col("left_category") == F.col("right_category"), 0.4).otherwise(0.0) + F.coalesce(near, F.lit(0.0)) + F.when(total > 0, 0.3 * common / total).otherwise(0.0)
-    return j.select(key, "left_id", "right_id", F.round(score, 6).alias("score"))
+    close = F.when(gap == 0, 0.3).when(gap <= 5, 0.2).otherwise(0.1)
+    score = 0.4 + close + F.when(total > 0, 0.3 * common / total).otherwise(0.0)
+    return j.filter(gap <= 20).select(key, "left_id", "right_id", F.round(score, 6).alias("score"))
+
+
+def contained_names(texts: DataFrame, names: DataFrame, text: str, name: str, by: Sequence[str] = (), gram: int = 6) -> DataFrame:
+    """The rows of ``texts`` with each name (other columns of ``names`` come along) that the text contains, within equal ``by``.
+
+    A name goes to its first ``gram`` characters, a text to all its runs of that many, so the join is an equality, and the
+    test for the whole name follows. Shorter names are matched by runs of their own length, which are made only for the
+    lengths that occur (fewer than ``gram``).
+    """
+    head = F.substring(name, 1, gram)
+    wanted = names.filter(F.length(name) > 0).withColumn("_g", head)
+    short = [r[0] for r in wanted.filter(F.length(name) < gram).select(F.length(name)).distinct().collect()]
+    runs = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda k: F.substring(F.col(text), k, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    grams = texts.withColumn("_g", F.explode(F.array_distinct(F.concat(*(runs(n) for n in sorted({gram, *short}))))))
+    return grams.join(wanted, [*by, "_g"]).filter(F.contains(F.col(text), F.col(name))).drop("_g")
+
+
+def paired_names(names: DataFrame, key: str, name: str, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """``key, one, other``: names of a key that contain the two words of a pair, without regard to case. The pairs are an
+    argument of the caller; a name takes part under every pair it contains."""
+    side = lambda k: F.explode(F.array_compact(F.array(*(F.when(F.contains(F.lower(name), F.lit(p[k])), F.lit(n)) for n, p in enumerate(pairs)))))
+    one = names.select(key, F.col(name).alias("one"), side(0).alias("_p"))
+    other = names.select(key, F.col(name).alias("other"), side(1).alias("_p"))
+    return one.join(other, [key, "_p"]).select(key, "one", "other")
 
 
 def confidence(start: Column, adjustments: Sequence[tuple[Column, int]]) -> Column:

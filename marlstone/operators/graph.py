@@ -11,12 +11,12 @@ from pyspark.sql.window import Window
 from marlstone.operators.lines import in_order
 from marlstone.session import cut
 
-_DECLARED = r"function\s+([A-Za-z_$][A-Za-z0-9_$]*)"
+DECLARED = r"function\s+([A-Za-z_$][A-Za-z0-9_$]*)"
 
 
 def declared_function(line: Column) -> Column:
     """The name of the function that the line declares, else null."""
-    name = F.regexp_extract(line, _DECLARED, 1)
+    name = F.regexp_extract(line, DECLARED, 1)
     return F.when(name != "", name)
 
 
@@ -25,16 +25,9 @@ def function_lines(lines: DataFrame, key: str) -> DataFrame:
     return lines.withColumn("fn", F.last(declared_function(F.col("line")), ignorenulls=True).over(in_order(key).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def call_edges(lines: DataFrame, key: str) -> DataFrame:
-    """``key, caller, callee``: names followed by an open bracket inside a function that the same file declares."""
-    inside = function_lines(lines, key).filter("fn is not null")
-    names = inside.select(key, F.col("fn").alias("caller"), F.explode(F.regexp_extract_all("line", F.lit(r"([A-Za-z_$][A-Za-z0-9_$]*)\s*\("), F.lit(1))).alias("callee")).distinct()
-    declared = lines.select(key, declared_function(F.col("line")).alias("callee")).filter("callee is not null").distinct()
-    return names.join(declared, [key, "callee"]).filter("caller <> callee").select(key, "caller", "callee")
-
-
-def reach(edges: DataFrame, depth: int | None = 10) -> DataFrame:
-    """``a, b, hops``: for edges (a, b) all pairs with the fewest hops, up to ``depth`` if given. Rounds stop when none is new."""
+def reach(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """``a, b, hops``: for edges (a, b) all pairs with the fewest hops, up to ``depth`` unless it is None. Rounds stop when none
+    is new."""
     step = edges.select("a", "b").filter("a is not null and b is not null").distinct()
     known = step.withColumn("hops", F.lit(1))
     fresh = known
@@ -47,19 +40,23 @@ def reach(edges: DataFrame, depth: int | None = 10) -> DataFrame:
     return known
 
 
-def bases(files: DataFrame, text: str) -> DataFrame:
-    """``a, b``: every contract or interface of the texts with each base of its list; arguments and qualifiers are left out."""
-    head = r"\b(?:contract|interface)\s+[A-Za-z0-9_$]+\s+is\s+[^{;]+"
-    named = files.select(F.explode(F.regexp_extract_all(text, F.lit(head), F.lit(0))).alias("h"))
-    bare = F.regexp_replace(F.regexp_replace("h", r"(?s)/\*.*?\*/|//[^\n]*", " "), r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)", "")
-    parts = named.select(F.regexp_extract("h", r"^\w+\s+([A-Za-z0-9_$]+)", 1).alias("a"), F.explode(F.split(F.regexp_replace(bare, r"^\w+\s+[A-Za-z0-9_$]+\s+is\s+", ""), ",")).alias("b"))
-    return parts.select("a", F.regexp_extract("b", r"([A-Za-z0-9_$]+)\s*$", 1).alias("b")).filter("b <> ''").distinct()
+def reachable_from(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """``node``: the start nodes and all that edges (a, b) lead to from them. Only the newest nodes go on in each round, so the
+    work follows the reached edges and no pairs are made; rounds end when none is new, however long the paths."""
+    step = edges.select("a", "b").filter("a is not null and b is not null").distinct()
+    fresh = known = cut(start.select("node").filter("node is not null").distinct())
+    while not fresh.isEmpty():
+        further = step.join(fresh.withColumnRenamed("node", "a"), "a", "left_semi").select(F.col("b").alias("node")).distinct()
+        fresh = cut(further.join(known, "node", "left_anti"))
+        known = known.unionByName(fresh)
+    return known
 
 
-def two_cycles(edges: DataFrame) -> DataFrame:
-    """``a, b`` with a < b where both directions are edges."""
-    e = edges.select("a", "b").distinct()
-    return e.join(e.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"]).filter("a < b")
+def two_cycles(edges: DataFrame, *by: str) -> DataFrame:
+    """``a, b`` with a < b where both directions are edges, within each value of the columns ``by``. Both directions meet as one
+    pair, so a single aggregation decides."""
+    e = edges.select(*by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("a") < F.col("b")).alias("_up")).filter("a <> b")
+    return e.groupBy(*by, "a", "b").agg(F.min("_up").alias("_all"), F.max("_up").alias("_any")).filter("_any and not _all").select(*by, "a", "b")
 
 
 def call_before_write(lines: DataFrame, key: str, call: Column, write: Column) -> DataFrame:

@@ -36,10 +36,15 @@ def work_dir(spark: SparkSession) -> str:
     return folder
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, where nothing lies yet."""
+    return f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it from there: it survives lost executors, is not computed
     again, and later steps read only the columns they need."""
     spark = df.sparkSession
-    path = f"{work_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = scratch(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,10 +11,10 @@ SCHEMA = (
 )
 
 
-def read_report(spark: SparkSession, path: str) -> DataFrame:
+def read_report(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """``check, impact, confidence, description, file, line_no``: one row for each element; a report that says it failed is an
-    error."""
-    raw = spark.read.schema(SCHEMA).option("multiLine", "true").json(path)
+    error. With ``lines`` every line is a report of its own, which splits large files."""
+    raw = spark.read.schema(SCHEMA).option("multiLine", str(not lines).lower()).json(path)
     return flatten_report(raw)
 
 

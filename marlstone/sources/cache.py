@@ -22,3 +22,8 @@ def merge_cache(cache: DataFrame, update: DataFrame) -> DataFrame:
     both = cache.unionByName(update)
     newest = F.max("scanned_at").over(Window.partitionBy("file"))
     return both.withColumn("_at", newest).filter(F.col("scanned_at") == F.col("_at")).drop("_at")
+
+
+def save_cache(cache: DataFrame, update: DataFrame, path: str) -> None:
+    """Writes the merged cache as a new table; the old one may lie anywhere but there."""
+    merge_cache(cache, update).write.mode("errorifexists").parquet(path)

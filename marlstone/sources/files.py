@@ -9,15 +9,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Larger files come without content.
-SIZE_CAP = 10 * 1024 * 1024
-
-
-def read_sources(spark: SparkSession, directory: str, glob: str = "*.sol") -> DataFrame:
-    """``file, content, length``: every file below the directory whose name fits the glob; the content of a file beyond the
-    size cap is null. Bytes that are not UTF-8 become replacement characters."""
+def read_sources(spark: SparkSession, directory: str, glob: str = "*.sol", size_cap: int | None = None) -> DataFrame:
+    """``file, content, length, left_out``: every file below the directory whose name fits the glob. With a ``size_cap``, the
+    content of larger files is null and left_out says so; without, no file is left out. Bytes that are not UTF-8 become
+    replacement characters."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(directory)
-    return raw.select(F.col("path").alias("file"), F.when(F.col("length") <= SIZE_CAP, F.decode("content", "UTF-8")).alias("content"), "length")
+    text, over = F.decode("content", "UTF-8"), F.lit(False) if size_cap is None else F.col("length") > size_cap
+    return raw.select(F.col("path").alias("file"), F.when(~over, text).alias("content"), "length", over.alias("left_out"))
 
 
 def glob_pattern(glob: str) -> str:

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from marlstone.operators.lines import split_lines
-from marlstone.operators.rules import NEUTRAL, Rule, scan_lines
+from marlstone.operators.rules import NEUTRAL, Rule, scan_pack
+from marlstone.session import scratch
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -25,7 +24,7 @@ def watch(spark: SparkSession, directory: str, sink: Callable[[DataFrame, int],
     texts = stream.select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("content"))
 
     def run(batch: DataFrame, number: int) -> None:
-        sink(scan_lines(split_lines(batch, "file", "content"), "file", rules), number)
+        sink(scan_pack(batch, "file", "content", rules), number)
 
     writer = texts.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=trigger)).start()
@@ -41,8 +40,17 @@ EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
 
 
 def counts_of_stream(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """Hourly counts of all events that lie in the directory, read as a stream and worked off once."""
+    """Hourly counts of all events that lie in the directory, read as a stream and worked off once.
+
+    Each micro-batch writes the windows that it changed, and the last state of a window counts, so no batch holds more than its
+    own windows and the watermark lets old state go.
+    """
     events = spark.readStream.schema(EVENTS).option("pathGlobFilter", name).parquet(directory).withColumn("ts", F.col("ts").cast("timestamp"))
-    view = f"counts_{uuid.uuid4().hex}"
-    event_counts(events).writeStream.format("memory").queryName(view).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(view).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    path = scratch(spark, "counts")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/out/batch={number:09d}")
+
+    event_counts(events).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema("start timestamp, event_type string, n bigint, batch bigint").parquet(f"{path}/out/*")
+    return rows.groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n")).withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -73,8 +73,8 @@ class _Words(dict):
 
     def __init__(self) -> None:
         super().__init__()
-        self.rows: list[tuple[int, int, int, int]] = []
-        self.table = np.zeros((4, 0), np.uint64)
+        self.rows: list[tuple[int, int, int, int]] = []  # of the numbers that the table does not hold yet
+        self.known, self.table = 0, np.zeros((4, 1024), np.uint64)
 
     def __missing__(self, t: str) -> int:
         c = t[0]
@@ -89,18 +89,21 @@ class _Words(dict):
         else:
             kind, mask = _OTHER, t
         self.rows.append((crc32(t.encode("utf-8", "surrogatepass")), crc32(mask.encode("utf-8", "surrogatepass")), kind, len(t)))
-        self[t] = n = len(self.rows) - 1
+        self[t] = n = self.known + len(self.rows) - 1
         return n
 
     def look_up(self, tokens: list[str]) -> np.ndarray:
         """One column for each token, in the order of the rows."""
-        if len(self.rows) > 500_000:  # only a store of what can be worked out again
+        if self.known > 500_000:  # only a store of what can be worked out again
             self.clear()
-            self.rows, self.table = [], np.zeros((4, 0), np.uint64)
+            self.known = 0
         at = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-        if self.table.shape[1] < len(self.rows):
-            fresh = np.array(self.rows[self.table.shape[1] :], np.uint64).T
-            self.table = np.concatenate([self.table, fresh], axis=1)
+        if self.rows:
+            end = self.known + len(self.rows)
+            while end > self.table.shape[1]:
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
+            self.table[:, self.known : end] = np.array(self.rows, np.uint64).T
+            self.known, self.rows = end, []
         return self.table[:, at]
 
 
@@ -214,6 +217,14 @@ def file_traits(rows: DataFrame) -> DataFrame:
 def _spanning(names: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
     """Links of a spanning forest over all pairs of the sets that are similar enough; every pair is compared. Each family is
     a star around its smallest name."""
+    if len(sets) == 2:  # as most buckets have
+        (x, y), (a, b) = sets, sorted(names)
+        least, most = sorted(map(len, sets))
+        if least >= SIMILARITY * most:
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if both >= SIMILARITY * (least + most - both):
+                yield a, b
+        return
     sizes = np.array([len(x) for x in sets])
     _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(sets)), sizes)

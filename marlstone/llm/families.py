@@ -40,6 +40,8 @@ FAMILY_SHARE, ONE_REPO_SHARE, FAMILY_SIZE = 0.6, 0.3, 3
 COPY_SHARE = 0.6
 #: Classes of a bucket, and shingles in them, that meet in one block; columns of shingles counted at a time.
 BLOCK, BLOCK_SHINGLES, COLUMNS = 1024, 4_000_000, 4096
+#: Classes of a bucket up to which plain sets are compared.
+SMALL = 12
 
 _TOKEN = re.compile(r"/\*(?:[^*]|\*(?!/))*\*/|//[^\n]*|\"\"\"(?:[^\"]|\"(?!\"\"))*\"\"\"|'''(?:[^']|'(?!''))*'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|0[xX][0-9a-fA-F]+|\d[\w.]*|[^\W\d]\w*|[^\s\w]", re.DOTALL)
 _HASH_COMMENT = re.compile(r"(?m)(?:^|(?<=\s))#[^\n]*")
@@ -217,13 +219,20 @@ def file_traits(rows: DataFrame) -> DataFrame:
 def _spanning(names: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
     """Links of a spanning forest over all pairs of the sets that are similar enough; every pair is compared. Each family is
     a star around its smallest name."""
-    if len(sets) == 2:  # as most buckets have
-        (x, y), (a, b) = sets, sorted(names)
-        least, most = sorted(map(len, sets))
-        if least >= SIMILARITY * most:
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if both >= SIMILARITY * (least + most - both):
-                yield a, b
+    if len(sets) <= SMALL:  # as most buckets are: plain sets, and no look at pairs whose sizes differ too much
+        plain = [frozenset(x.tolist()) for x in sets]
+        root = list(range(len(sets)))
+        for j in range(1, len(sets)):
+            for k in range(j):
+                least, most = sorted((len(plain[j]), len(plain[k])))
+                if root[j] != root[k] and least >= SIMILARITY * most:
+                    both = len(plain[j] & plain[k])
+                    if both >= SIMILARITY * (least + most - both):
+                        old, new = root[j], root[k]
+                        root = [new if r == old else r for r in root]
+        for r in set(root):
+            family = sorted(names[k] for k in range(len(sets)) if root[k] == r)
+            yield from ((family[0], other) for other in family[1:])
         return
     sizes = np.array([len(x) for x in sets])
     _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)

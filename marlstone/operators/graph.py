@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 from marlstone.operators.lines import in_order
 from marlstone.session import cut
 
+#: Rounds after which what is known is written as one table, so that plans stay short.
+_FOLD = 8
 DECLARED = r"function\s+([A-Za-z_$][A-Za-z0-9_$]*)"
 
 
@@ -28,7 +30,7 @@ def function_lines(lines: DataFrame, key: str) -> DataFrame:
 def reach(edges: DataFrame, depth: int | None = None) -> DataFrame:
     """``a, b, hops``: for edges (a, b) all pairs with the fewest hops, up to ``depth`` unless it is None. Rounds stop when none
     is new."""
-    step = edges.select("a", "b").filter("a is not null and b is not null").distinct()
+    step = cut(edges.select("a", "b").filter("a is not null and b is not null").distinct())
     known = step.withColumn("hops", F.lit(1))
     fresh = known
     for n in count(2) if depth is None else range(2, depth + 1):
@@ -36,20 +38,22 @@ def reach(edges: DataFrame, depth: int | None = None) -> DataFrame:
         fresh = cut(further.join(known, ["a", "b"], "left_anti").withColumn("hops", F.lit(n)))
         if fresh.limit(1).count() == 0:
             break
-        known = known.unionByName(fresh)
+        known = known.unionByName(fresh) if n % _FOLD else cut(known.unionByName(fresh))
     return known
 
 
 def reachable_from(edges: DataFrame, start: DataFrame) -> DataFrame:
     """``node``: the start nodes and all that edges (a, b) lead to from them. Only the newest nodes go on in each round, so the
     work follows the reached edges and no pairs are made; rounds end when none is new, however long the paths."""
-    step = edges.select("a", "b").filter("a is not null and b is not null").distinct()
+    step = cut(edges.select("a", "b").filter("a is not null and b is not null").distinct())
     fresh = known = cut(start.select("node").filter("node is not null").distinct())
-    while not fresh.isEmpty():
+    for n in count(1):
+        if fresh.isEmpty():
+            return known
         further = step.join(fresh.withColumnRenamed("node", "a"), "a", "left_semi").select(F.col("b").alias("node")).distinct()
         fresh = cut(further.join(known, "node", "left_anti"))
-        known = known.unionByName(fresh)
-    return known
+        known = known.unionByName(fresh) if n % _FOLD else cut(known.unionByName(fresh))
+    raise AssertionError
 
 
 def two_cycles(edges: DataFrame, *by: str) -> DataFrame:

@@ -61,16 +61,17 @@ def override(rules: Sequence[Rule], disabled: Sequence[str] = (), severities: di
     return [replace(r, severity=s if (s := wanted.get(r.rule_id, r.severity)) in SEVERITIES else "Medium") for r in rules if r.rule_id not in set(disabled)]
 
 
-def scan_lines(df: DataFrame, key: str, text: str, rules: Sequence[Rule] = NEUTRAL, around: tuple[int, int] | None = None) -> DataFrame:
+def scan_lines(df: DataFrame, key: str, text: str, rules: Sequence[Rule] = NEUTRAL, around: tuple[int, int] | None = None, carry: Sequence[Column] = ()) -> DataFrame:
     """``key, line_no, line, rule_id, rule_no, category, severity, rank, seq``: one row for each rule that a line matches.
 
     seq is the ordinal of emission in the text: rule by rule, line by line. ``around`` adds ``context``, the lines from so many
-    above to so many below. The lines of a text stay in its row until they match: all patterns are literals in one projection,
+    above to so many below; ``carry`` are columns of the text that come along. The lines of a text stay in its row until they match: all patterns are literals in one projection,
     each compiled once a task, and neighbours and ordinals are read off the arrays, so nothing is joined or shuffled.
     Multi-line rules are left to ``scan_texts``. Null texts have no rows.
     """
-    lines = df.filter(F.col(text).isNotNull()).select(key, line_array(F.col(text)).alias("_a"))
-    lines = lines.select(key, "_a", F.transform("_a", lambda x, k: F.struct((k + 1).alias("line_no"), x.alias("line"))).alias("_l"))
+    lines = df.filter(F.col(text).isNotNull()).select(key, line_array(F.col(text)).alias("_a"), *carry)
+    along = lines.columns[2:]
+    lines = lines.select(key, "_a", F.transform("_a", lambda x, k: F.struct((k + 1).alias("line_no"), x.alias("line"))).alias("_l"), *along)
 
     def hit(n: int, r: Rule) -> Column:
         def row(x: Column) -> Column:
@@ -85,8 +86,8 @@ def scan_lines(df: DataFrame, key: str, text: str, rules: Sequence[Rule] = NEUTR
     by_line = [hit(n, r) for n, r in enumerate(rules) if not r.multiline]
     if not by_line:
         by_line = [F.transform(F.slice("_l", 1, 0), lambda x: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line"), *(F.lit("").alias(c) if c != "rule_no" else F.lit(0).alias(c) for c in ("rule_id", "rule_no", "category", "severity"))))]
-    rows = lines.select(key, F.posexplode(F.flatten(F.array(*by_line))).alias("_at", "h"))
-    return rows.select(key, "h.*", (F.col("_at") + 1).alias("seq")).withColumn("rank", severity_rank(F.col("severity")))
+    rows = lines.select(key, *along, F.posexplode(F.flatten(F.array(*by_line))).alias("_at", "h"))
+    return rows.select(key, "h.*", *along, (F.col("_at") + 1).alias("seq")).withColumn("rank", severity_rank(F.col("severity")))
 
 
 _PLACES = "match_no int, start_line int, end_line int, n_chars int"

@@ -226,3 +226,39 @@ def enclosing(places: DataFrame, rows: DataFrame, key: str, line: str = "line_no
     last = both.withColumn("_l", F.last("_f", ignorenulls=True).over(order)).filter("_p is not null")
     inside = F.col("_l.end_line").isNull() | (F.col("_l.end_line") >= F.col("_at"))
     return last.select("_p.*", F.when(inside, F.col("_l.name")).alias("fn"), F.when(inside, F.col("_l.start_line")).alias("fn_start"))
+
+
+_IMPORT = re.compile(r"""\bimport\s+(?:\{(?P<symbols>[^{}]*)\}\s*from\s*|\*\s*as\s+(?P<star>[A-Za-z_$][\w$]*)\s+from\s*)?(?P<quote>["'])(?P<path>[^"'\n]+)(?P=quote)(?:\s+as\s+(?P<alias>[A-Za-z_$][\w$]*))?\s*;""")
+_VERSION = re.compile(r"@(\d+\.\d+\.\d+)")
+_IMPORTS = pa.schema([("path", pa.string()), ("alias", pa.string()), ("symbols", pa.list_(pa.string())), ("line", pa.int32()), ("is_local", pa.bool_()), ("version", pa.string())])
+
+
+def imports(text: str) -> list[tuple]:
+    """(path, alias, symbols, line, is_local, version) of the import statements of a text, over several lines if need be;
+    those in comments are none. A symbol that gets another name is listed with it (``A as B``)."""
+    clean = blank_comments(text)
+    out, line, at = [], 1, 0
+    for m in _IMPORT.finditer(clean):
+        line += clean.count("\n", at, m.start())
+        at = m.start()
+        symbols = [" ".join(p.split()) for p in (m["symbols"] or "").split(",") if p.strip()]
+        version = _VERSION.search(m["path"])
+        out.append((m["path"], m["star"] or m["alias"], symbols, line, m["path"].startswith("."), version[1] if version else None))
+    return out
+
+
+def import_rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, path, alias, symbols, line, is_local, version``: one row for each import statement of each text."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for k, t in enumerate(batch.column(1).to_pylist()):
+                own = imports(t)
+                at += [k] * len(own)
+                rows += own
+            columns = list(zip(*rows, strict=True)) or [[]] * len(_IMPORTS)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, f.type) for c, f in zip(columns, _IMPORTS, strict=True))], names=[key, *_IMPORTS.names])
+
+    return df.select(key, text).filter(F.col(text).isNotNull()).mapInArrow(run, f"`{key}` {kind}, path string, alias string, symbols array<string>, line int, is_local boolean, version string")

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from marlstone.functions.scoring import cvss_base_score, poly_hash, priority, severity_weight
 from marlstone.operators import findings as fd
 from marlstone.operators.lines import split_lines
+from marlstone.operators.predicates import Predicate, text_flags, without_noise
 from marlstone.operators.rules import CATEGORIES, NEUTRAL, categories_frame, override, rules_frame, scan_lines, scan_texts
 from marlstone.session import scratch
 from marlstone.sources import sinks
@@ -316,6 +317,21 @@ def filter_layer1(spark, d):  # noqa: ANN001, ANN201
     return hits(spark, d).filter(~noise).select("doc_id", "seq")
 
 
+#: A neutral table of what makes a hit noise.
+PREDICATES = (
+    Predicate("quoted", "line", any_of=(r"^[#>]",), categories=("Amounts",)),
+    Predicate("guarded", "context", any_of=(r"require\(", r"revert\("), none_of=(r"unchecked",), categories=("Calls",)),
+    Predicate("named_often", "text", any_of=(r"(?s)\.sol.*\.sol.*\.sol",), categories=("Files",)),
+)
+
+
+@query(f"""WITH {HITS}, C AS (SELECT doc_id, line_no, string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS context FROM L)
+SELECT H.doc_id, seq FROM H JOIN C USING (doc_id, line_no) JOIN documents USING (doc_id) WHERE NOT (category = 'Amounts' AND regexp_matches(line, '^[#>]')) AND NOT (category = 'Calls' AND regexp_matches(context, 'require\\(|revert\\(') AND NOT regexp_matches(context, 'unchecked')) AND NOT (category = 'Files' AND regexp_matches(text, '(?s)\\.sol.*\\.sol.*\\.sol'))""")
+def filter_predicates(spark, d):  # noqa: ANN001, ANN201
+    found = scan_lines(table(spark, d, "documents"), "doc_id", "text", around=(2, 2), carry=text_flags(PREDICATES, "text"))
+    return without_noise(found, PREDICATES).select("doc_id", "seq")
+
+
 @query(f"WITH {LINES} SELECT doc_id, count(*) AS code_lines FROM L WHERE NOT (ltrim(line) LIKE '//%' OR ltrim(line) LIKE '/*%' OR ltrim(line) LIKE '*%') GROUP BY doc_id")
 def filter_comment_lines(spark, d):  # noqa: ANN001, ANN201
     start = F.ltrim("line")

@@ -10,6 +10,7 @@ from marlstone.functions.paths import canonical_path
 from marlstone.functions.scoring import sanitize_name
 from marlstone.operators import findings as fd
 from marlstone.operators import graph, lines as ln, structure
+from marlstone.operators.predicates import features
 from marlstone.operators.rules import NEUTRAL
 from marlstone.operators.taint import fold_taint as taint_fold
 from marlstone.plans.finding_queries import CUTOFF
@@ -82,6 +83,24 @@ def proj_features(spark, d):  # noqa: ANN001, ANN201
     )
 
 
+_FLAGS = {"checked": r"pragma solidity\s*[\^>=]*\s*0\.[89]", "library": r"(?:^|\n)\s*library\s+[A-Za-z_]", "interface": r"(?:^|\n)\s*interface\s+[A-Za-z_]", "scoped_imports": r"import[^;]*@", "custom_errors": r"\berror\s+[A-Z]", "low_level": r"\.call\{", "assembly_used": r"\bassembly\b", "loops": r"\bfor\s*\(|\bwhile\s*\(", "payable_used": r"\bpayable\b"}
+_VALUES = {"version": (r"pragma\s+solidity\s*[\^>=<]*\s*([0-9]+\.[0-9]+\.[0-9]+)", 1), "licence": (r"SPDX-License-Identifier:\s*([A-Za-z0-9.-]+)", 1), "first_modifier": (r"modifier\s+([A-Za-z0-9_]+)", 1)}
+
+
+@query(f"WITH {SF} SELECT file_id, {', '.join(f'coalesce(regexp_matches(content, {chr(39)}{p}{chr(39)}), false) AS {n}' for n, p in _FLAGS.items())}, {', '.join(f'CASE WHEN regexp_matches(content, {chr(39)}{p}{chr(39)}) THEN regexp_extract(content, {chr(39)}{p}{chr(39)}, {g}) END AS {n}' for n, (p, g) in _VALUES.items())} FROM SF")
+def proj_context(spark, d):  # noqa: ANN001, ANN201
+    """The second row of features, those of the later filters; flags and values are arguments."""
+    return features(files(spark, d), "file_id", "content", _FLAGS, _VALUES)
+
+
+@query("SELECT DISTINCT file_id, path, alias, array_to_string(symbols, ',') AS symbols, line, is_local FROM file_imports")
+def import_statements(spark, d):  # noqa: ANN001, ANN201
+    """Import statements read from the sources of which the table of imports knows any; it holds the same."""
+    listed = table(spark, d, "file_imports").select("file_id").distinct()
+    rows = structure.import_rows(files(spark, d).filter(F.col("path").endswith(".sol")).join(listed, "file_id", "left_semi"), "file_id", "content")
+    return rows.select("file_id", "path", "alias", F.array_join("symbols", ",").alias("symbols"), "line", "is_local").distinct()
+
+
 _VERSION = r"pragma solidity\s+([^;]*)[0-9]+\.([0-9]+)\.([0-9]+)"
 
 

@@ -16,6 +16,15 @@ def connection(directory: str) -> duckdb.DuckDBPyConnection:
     return c
 
 
+def kind(name: str) -> str:
+    """The family of a type of either engine; integers and floating numbers are different ones."""
+    low = name.lower()
+    for family, starts in (("whole", ("int", "bigint", "long", "smallint", "tinyint", "hugeint", "ubigint", "uinteger")), ("floating", ("double", "float", "decimal")), ("text", ("string", "varchar")), ("truth", ("bool",)), ("time", ("timestamp",))):
+        if low.startswith(starts):
+            return family
+    return low
+
+
 def canonical(df: pd.DataFrame) -> list[tuple]:
     def plain(v):
         if hasattr(v, "__len__") and not isinstance(v, str):

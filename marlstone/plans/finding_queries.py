@@ -15,7 +15,7 @@ from marlstone.session import scratch
 from marlstone.sources import sinks
 from marlstone.sources.files import changed_since
 from marlstone.sources.sinks import read_baseline, write_baseline
-from marlstone.sources.tables import table
+from marlstone.sources.tables import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -34,12 +34,16 @@ def query(sql: str | None = None):  # noqa: ANN201
     return add
 
 
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text", "ingested_at"), "doc_id")
+
+
 def lines(spark: SparkSession, d: str) -> DataFrame:
-    return split_lines(table(spark, d, "documents"), "doc_id", "text")
+    return split_lines(documents(spark, d), "doc_id", "text")
 
 
 def hits(spark: SparkSession, d: str, around: tuple[int, int] | None = None) -> DataFrame:
-    return scan_lines(table(spark, d, "documents"), "doc_id", "text", around=around)
+    return scan_lines(documents(spark, d), "doc_id", "text", around=around)
 
 
 _RANK = "CASE severity WHEN 'Critical' THEN 4 WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 1 ELSE 0 END"
@@ -109,7 +113,7 @@ T AS (SELECT doc_id, k, m[k] AS t, array_to_string(p[1:k], '') || coalesce(array
 SELECT doc_id, CAST(k AS INTEGER) AS match_no, CAST(length(before) - length(replace(before, chr(10), '')) + 1 AS INTEGER) AS start_line,
 CAST(length(before) - length(replace(before, chr(10), '')) + 1 + length(t) - length(replace(t, chr(10), '')) AS INTEGER) AS end_line, CAST(length(t) AS INTEGER) AS n_chars FROM T""")
 def multiline_match(spark, d):  # noqa: ANN001, ANN201
-    return scan_texts(table(spark, d, "documents"), "doc_id", "text", [_FENCE]).select("doc_id", "match_no", "start_line", "end_line", "n_chars")
+    return scan_texts(documents(spark, d), "doc_id", "text", [_FENCE]).select("doc_id", "match_no", "start_line", "end_line", "n_chars")
 
 
 @query(f"WITH {HITS}, G AS (SELECT DISTINCT doc_id, category, line_no FROM H WHERE rule_no < 4), N AS (SELECT * FROM H WHERE rule_no >= 4) SELECT doc_id, line_no, rule_id FROM N WHERE NOT EXISTS (SELECT 1 FROM G WHERE G.doc_id = N.doc_id AND G.category = N.category AND abs(G.line_no - N.line_no) <= 3)")
@@ -134,7 +138,7 @@ def fingerprint(spark, d):  # noqa: ANN001, ANN201
 @query(f"WITH {HITS}, O AS (SELECT DISTINCT rule_id, line_no, line FROM H JOIN documents USING (doc_id) WHERE ingested_at < TIMESTAMP '{CUTOFF}') SELECT H.doc_id, H.line_no, H.rule_id FROM H LEFT JOIN O USING (rule_id, line_no, line) WHERE O.rule_id IS NULL")
 def anti_baseline(spark, d):  # noqa: ANN001, ANN201
     """The baseline is written as a file of fingerprints and read back; what it names is left out."""
-    old = table(spark, d, "documents").filter(F.col("ingested_at") < F.lit(CUTOFF).cast("timestamp_ntz"))
+    old = documents(spark, d).filter(F.col("ingested_at") < F.lit(CUTOFF).cast("timestamp_ntz"))
     path = scratch(spark, "baseline")
     write_baseline(prints(scan_lines(old, "doc_id", "text")), path)
     return prints(hits(spark, d)).join(read_baseline(spark, path), "print", "left_anti").select("doc_id", "line_no", "rule_id")
@@ -155,7 +159,7 @@ def anti_safe_pattern(spark, d):  # noqa: ANN001, ANN201
 @query(f"WITH {HITS} SELECT doc_id, line_no, rule_id, CASE WHEN rule_id = 'N03' THEN 'High' WHEN rule_id = 'N07' THEN 'Medium' ELSE severity END AS severity FROM H WHERE rule_id NOT IN ('N01', 'N04')")
 def anti_disabled_rules(spark, d):  # noqa: ANN001, ANN201
     pack = override(NEUTRAL, disabled=["N01", "N04"], severities={"N03": "High", "N07": "unheard of"})
-    return scan_lines(table(spark, d, "documents"), "doc_id", "text", pack).select("doc_id", "line_no", "rule_id", "severity")
+    return scan_lines(documents(spark, d), "doc_id", "text", pack).select("doc_id", "line_no", "rule_id", "severity")
 
 
 @query(f"WITH {HITS} SELECT severity, count(*) AS n FROM H GROUP BY severity")
@@ -306,7 +310,7 @@ def filter_swc_nulls(spark, d):  # noqa: ANN001, ANN201
 
 @query(f"WITH {HITS} SELECT doc_id, line_no, rule_id FROM H JOIN documents USING (doc_id) WHERE NOT coalesce(contains(text, '```'), false)")
 def filter_gates(spark, d):  # noqa: ANN001, ANN201
-    gated = table(spark, d, "documents").filter(~F.coalesce(F.contains(F.col("text"), F.lit("```")), F.lit(False)))
+    gated = documents(spark, d).filter(~F.coalesce(F.contains(F.col("text"), F.lit("```")), F.lit(False)))
     return scan_lines(gated, "doc_id", "text").select("doc_id", "line_no", "rule_id")
 
 
@@ -328,7 +332,7 @@ PREDICATES = (
 @query(f"""WITH {HITS}, C AS (SELECT doc_id, line_no, string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS context FROM L)
 SELECT H.doc_id, seq FROM H JOIN C USING (doc_id, line_no) JOIN documents USING (doc_id) WHERE NOT (category = 'Amounts' AND regexp_matches(line, '^[#>]')) AND NOT (category = 'Calls' AND regexp_matches(context, 'require\\(|revert\\(') AND NOT regexp_matches(context, 'unchecked')) AND NOT (category = 'Files' AND regexp_matches(text, '(?s)\\.sol.*\\.sol.*\\.sol'))""")
 def filter_predicates(spark, d):  # noqa: ANN001, ANN201
-    found = scan_lines(table(spark, d, "documents"), "doc_id", "text", around=(2, 2), carry=text_flags(PREDICATES, "text"))
+    found = scan_lines(documents(spark, d), "doc_id", "text", around=(2, 2), carry=text_flags(PREDICATES, "text"))
     return without_noise(found, PREDICATES).select("doc_id", "seq")
 
 

@@ -13,29 +13,37 @@ from marlstone.llm.representative import STAND_INS, best_records
 from marlstone.llm.sentences import split_sentences
 from marlstone.llm.syntax import invalid_rates, parse_reports, scans_of_invalid
 from marlstone.llm.top_n import top_findings
-from marlstone.sources.tables import table
+from marlstone.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def sources(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "source_files"), "file_id")
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents"), "doc_id")
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return parse_reports(table(spark, d, "source_files")).filter("not valid").select("file_id")
+    return parse_reports(sources(spark, d)).filter("not valid").select("file_id")
 
 
 def p1_reports(spark: SparkSession, d: str) -> DataFrame:
-    return parse_reports(table(spark, d, "source_files"))
+    return parse_reports(sources(spark, d))
 
 
 def p1_rates(spark: SparkSession, d: str) -> DataFrame:
-    return invalid_rates(parse_reports(table(spark, d, "source_files")))
+    return invalid_rates(parse_reports(sources(spark, d)))
 
 
 def p1_scans(spark: SparkSession, d: str) -> DataFrame:
-    return scans_of_invalid(parse_reports(table(spark, d, "source_files")), table(spark, d, "cache_entries"))
+    return scans_of_invalid(parse_reports(sources(spark, d)), table(spark, d, "cache_entries"))
 
 
 def _families(spark: SparkSession, d: str) -> DataFrame:
-    return file_families(table(spark, d, "source_files"), table(spark, d, "vendor_releases"))
+    return file_families(sources(spark, d), table(spark, d, "vendor_releases"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -47,7 +55,7 @@ def p2_families(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_imports(spark: SparkSession, d: str) -> DataFrame:
-    return import_origins(table(spark, d, "file_imports"), table(spark, d, "source_files"), not_hand_written(_families(spark, d)))
+    return import_origins(table(spark, d, "file_imports"), sources(spark, d), not_hand_written(_families(spark, d)))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +76,7 @@ def p5_top_ten(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
-    return pack_documents(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
+    return pack_documents(documents(spark, d), table(spark, d, "pack_sizes"))
 
 
 def p6_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -77,11 +85,11 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leaked_items(documents(spark, d), table(spark, d, "eval_items"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return split_sentences(table(spark, d, "documents"))
+    return split_sentences(documents(spark, d))
 
 
 QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_reports": p1_reports, "p1_rates": p1_rates, "p1_scans": p1_scans, "p2_found": p2_found, "p2_families": p2_families, "p2_imports": p2_imports, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_top_ten": p5_top_ten, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p8_found": p8_found}

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from marlstone.functions.paths import canonical_path
 from marlstone.functions.scoring import cvss_base_score, poly_hash, priority, sanitize_name
 from marlstone.operators import findings as fd
-from marlstone.operators import graph, lines, structure, taint
+from marlstone.operators import graph, lines, pipeline, structure, taint
 from marlstone.operators.components import connected_components
+from marlstone.operators.predicates import Predicate
 from marlstone.operators.rules import NEUTRAL, Rule, override, scan_lines, scan_pack, scan_texts
 from marlstone.sources import analyzer, cache, config, files, sinks
 from marlstone.streaming.watch import watch
@@ -193,6 +194,25 @@ def test_contained_names(spark):
     assert got == {(k, m) for k, r, x in texts for m, q in names if x is not None and m and r == q and m in x}
 
 
+def test_pipeline(spark):
+    pack = [Rule("A", "x", "High", r"call", "a"), Rule("M", "x", "Low", r"start[^;]*;", "m", True), Rule("B", "y", "Info", r"v[0-9]", "b"), Rule("C", "x", "Medium", r"ca", "c")]
+    df = spark.createDataFrame([(1, "s/a.sol", "call\nstart\n end;\nv1 ok call"), (2, "s/test/b.sol", "call"), (3, "s/c.sol", None), (4, "s/d.sol", "safe\ncall")], "k int, path string, t string")
+    rows = lambda **kw: {(r.k, r.rule_id, r.start_line, r.end_line) for r in pipeline.scan(df, "k", "t", pack, pipeline.Options(**kw)).collect()}
+    every = {(1, "A", 1, 1), (1, "A", 4, 4), (1, "M", 2, 3), (1, "B", 4, 4), (2, "A", 1, 1), (4, "A", 2, 2)}
+    assert rows() == every and rows(exact_dedup=False) == every | {(1, "C", 1, 1), (1, "C", 4, 4), (2, "C", 1, 1), (4, "C", 2, 2)}
+    assert rows(multiline_rules=False, min_severity="High") == {x for x in every if x[1] == "A"}
+    assert rows(merge_window=30) == {(1, "A", 1, 1), (1, "B", 4, 4), (2, "A", 1, 1), (4, "A", 2, 2)}
+    noise = [Predicate("safe", "text", any_of=("safe",)), Predicate("ok", "line", any_of=("ok",), categories=("x",)), Predicate("odd", "context", any_of=("nothing",), none_of=("call",))]
+    options = pipeline.Options.from_settings({"exclude": ["*/test/*"], "unheard_of": 1})
+    found = pipeline.scan(df, "k", "t", pack, options, noise, "path")
+    assert {(r.k, r.rule_id, r.start_line) for r in found.collect()} == {(1, "A", 1), (1, "M", 2), (1, "B", 4)}
+    old = found.filter("rule_id = 'A'").select("print")
+    assert {r.rule_id for r in pipeline.scan(df, "k", "t", pack, options, noise, "path", old).collect()} == {"M", "B"}
+    assert pipeline.scan(df.limit(0), "k", "t", pack).count() == 0 and pipeline.scan(df, "k", "t", []).count() == 0
+    with pytest.raises(ValueError, match="severities"):
+        pipeline.scan(df, "k", "t", pack, pipeline.Options(min_severity="Odd"))
+
+
 def _findings(spark, rows):
     return spark.createDataFrame(rows, "k int, line_no int, category string, severity string, rank int, rule_id string, rule_no int, seq int")
 

@@ -93,9 +93,11 @@ def _read_deep(text: str) -> object:
             value, at = stack.pop(), skip(at + 1)
 
 
-def _walk(text: str, lists: frozenset[str], packed: frozenset[str], wrappers: frozenset[str], routed: frozenset[str] | None) -> Iterator[tuple]:
-    """The nodes of one record, parents first, numbered in the order of the document. A label in ``lists`` holds a list: an
-    object in its place is a list of one. A string under a route in ``packed`` is parsed in its turn."""
+def _walk(text: str, lists: frozenset[str], packed: frozenset[str], wrappers: frozenset[str], routed: frozenset[str] | None, columns: Sequence[list]) -> int:
+    """Append the nodes of one record, parents first, in the order of the document, to the columns parent to route of the
+    adjacency table, and give their number. A label in ``lists`` holds a list: an object in its place is a list of one. A string
+    under a route in ``packed`` is parsed in its turn."""
+    parents, labels, ordinals, kinds, scalars, routes = columns
 
     def load(raw: str) -> object:
         value = read_json(raw.lstrip("\ufeff"))
@@ -106,25 +108,42 @@ def _walk(text: str, lists: frozenset[str], packed: frozenset[str], wrappers: fr
     top = load(text)
     if wrappers and isinstance(top, dict) and not wrappers & top.keys():
         top = [top]
-    stack: list[tuple] = [(top, None, None, 0, "")]
-    node = -1
-    while stack:
-        value, parent, label, ordinal, route = stack.pop()
-        node += 1
-        if isinstance(value, str) and route in packed:
-            try:
-                value = load(value)
-            except ValueError:
-                pass
-        if isinstance(value, dict) and label is not None and label in lists:
-            value = [value]
-        kind = _KIND[type(value)]
-        yield node, parent, label, ordinal, kind, None if kind in ("object", "array", "null") else value if kind == "string" else json.dumps(value), route
-        if kind == "object":
-            stack += [(v, node, name, k, None if route is None or (routed is not None and name not in routed) else f"{route}/{name}") for k, (name, v) in reversed(list(enumerate(value.items())))]
-        elif kind == "array":
-            ends = route is None or (routed is not None and label is None and parent is not None)
-            stack += [(v, node, None, k, None if ends else f"{route}/{k}") for k, v in reversed(list(enumerate(value)))]
+    node = 0
+    frames: list[tuple] = [(enumerate([top]), None, "", False)]  # of each open container: children yet to come, its number, its route, whether an object
+    while frames:
+        children, parent, up, named = frames[-1]
+        for k, value in children:
+            label = None
+            if named:
+                label, value = value
+                route = None if up is None or (routed is not None and label not in routed) else f"{up}/{label}"
+            else:
+                route = None if up is None else f"{up}/{k}" if node else ""
+            if route in packed and isinstance(value, str):
+                try:
+                    value = load(value)
+                except ValueError:
+                    pass
+            kind = _KIND[type(value)]
+            if kind == "object" and label in lists:
+                value, kind = [value], "array"
+            parents.append(parent)
+            labels.append(label)
+            ordinals.append(k)
+            kinds.append(kind)
+            scalars.append(value if kind == "string" else json.dumps(value) if kind in ("boolean", "number") else None)
+            routes.append(route)
+            node += 1
+            if kind == "object":
+                frames.append((enumerate(value.items()), node - 1, route, True))
+                break
+            if kind == "array":
+                ends = routed is not None and label is None and parent is not None
+                frames.append((enumerate(value), node - 1, None if ends else route, False))
+                break
+        else:
+            frames.pop()
+    return node
 
 
 def shred_json(df: DataFrame, key: str, column: str, lists: Sequence[str] = (), packed: Sequence[str] = (), wrappers: Sequence[str] = (), routed: Sequence[str] | None = None) -> DataFrame:
@@ -139,25 +158,28 @@ def shred_json(df: DataFrame, key: str, column: str, lists: Sequence[str] = (),
     """
     as_lists, as_packed, as_wrappers, as_routed = frozenset(lists), frozenset(packed), frozenset(wrappers), None if routed is None else frozenset(routed)
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+    def batch_of(columns: list[list], start: int, end: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c[start:end], f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+        columns: list[list] = [[] for _ in _ARROW]
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, text in ((d.as_py(), t.as_py()) for d, t in zip(*batch.columns, strict=True)):
                 if text is None or doc is None:
                     continue
                 try:
-                    nodes = list(_walk(text, as_lists, as_packed, as_wrappers, as_routed))
-                except ValueError:
+                    n = _walk(text, as_lists, as_packed, as_wrappers, as_routed, columns[2:])
+                except ValueError:  # the text, before any node
                     continue
-                rows += [(doc, *n) for n in nodes]
-                while len(rows) >= _FLUSH:
-                    yield batch_of(rows[:_FLUSH])
-                    rows = rows[_FLUSH:]
-        if rows:
-            yield batch_of(rows)
+                columns[0] += [doc] * n
+                columns[1] += range(n)
+                done = len(columns[0]) // _FLUSH * _FLUSH
+                for at in range(0, done, _FLUSH):
+                    yield batch_of(columns, at, at + _FLUSH)
+                if done:
+                    columns = [c[done:] for c in columns]
+        if columns[0]:
+            yield batch_of(columns, 0, len(columns[0]))
 
     once = df.select(F.col(key).cast("long").alias("doc"), F.col(column).alias("text")).dropDuplicates(["doc"])
     return once.mapInArrow(run, NODES)
@@ -168,14 +190,12 @@ def pivot_objects(nodes: DataFrame, wanted: Column, labels: Sequence[str]) -> Da
     child of that name, or null.
 
     Objects and scalar children are joined by (doc, object): each goes there under the number of the object, in one pass over
-    the nodes and one shuffle, and the pivot follows in the same group. Objects without any scalar child stay.
+    the nodes and one shuffle, and the pivot follows in the same group. Objects without any scalar child stay. ``wanted`` must
+    hold for objects only: these have no scalar, so no row stands on both sides.
     """
-    if not labels:
-        return nodes.filter(wanted).select("doc", "node", "route")
-    none = F.lit(None).cast("string")
-    own = F.when(wanted, F.struct(F.col("node"), F.col("route"), none.alias("label"), none.alias("scalar")))
-    child = F.when(F.col("label").isin(*labels), F.struct(F.col("parent").alias("node"), none.alias("route"), F.col("label"), F.col("scalar")))
-    sides = nodes.filter(wanted | F.col("label").isin(*labels)).select("doc", F.explode(F.array_compact(F.array(own, child))).alias("x")).select("doc", "x.*")
+    child = F.col("label").isin(*labels) & F.col("scalar").isNotNull()
+    own = F.col("scalar").isNull()
+    sides = nodes.filter(wanted | child).select("doc", F.when(own, F.col("node")).otherwise(F.col("parent")).alias("node"), F.when(own, F.col("route")).alias("route"), "label", "scalar")
     values = (F.max(F.when(F.col("label") == x, F.col("scalar"))).alias(f"{x}_value") for x in labels)
     return sides.groupBy("doc", "node").agg(F.max("route").alias("route"), *values).filter("route is not null")
 
@@ -198,13 +218,17 @@ def abi_items(nodes: DataFrame) -> DataFrame:
     return wide.select(F.col("doc").alias("abi_id"), F.regexp_extract("route", _ITEM, 1).cast("int").alias("item_no"), F.coalesce("type_value", F.lit("function")).alias("type"), F.col("name_value").alias("name"), F.col("stateMutability_value").alias("state_mutability"), F.col("anonymous_value").cast("boolean").alias("anonymous"))
 
 
-def abi_params(nodes: DataFrame, fields: bool = True) -> DataFrame:
-    """``abi_id, item_no, side, param_path, parent_path, depth`` and, if ``fields``, ``name, type, internal_type, indexed``:
-    one row for each parameter object, whatever its depth. parent_path is null for a parameter of the item itself."""
+def abi_params(nodes: DataFrame) -> DataFrame:
+    """``abi_id, item_no, side, param_path, parent_path, depth, name, type, internal_type, indexed``: one row for each
+    parameter object, whatever its depth. parent_path is null for a parameter of the item itself, indexed where it is no
+    boolean."""
     wanted = (F.col("kind") == "object") & F.coalesce(F.col("route").rlike(_PARAM), F.lit(False))
-    wide = pivot_objects(nodes, wanted, ["name", "type", "internalType", "indexed"] if fields else [])
-    path = F.replace(F.regexp_extract("route", _PARAM, 3), F.lit("/components/"), F.lit("."))
-    up = F.regexp_extract("param_path", r"^(.*)\.\d+$", 1)
-    placed = wide.select(F.col("doc").alias("abi_id"), F.regexp_extract("route", _PARAM, 1).cast("int").alias("item_no"), F.regexp_extract("route", _PARAM, 2).alias("side"), path.alias("param_path"), *(c for c in wide.columns if c.endswith("_value")))
-    own = [F.col("name_value").alias("name"), F.col("type_value").alias("type"), F.col("internalType_value").alias("internal_type"), F.col("indexed_value").cast("boolean").alias("indexed")] if fields else []
-    return placed.select("abi_id", "item_no", "side", "param_path", F.when(up != "", up).alias("parent_path"), F.size(F.split("param_path", r"\.")).alias("depth"), *own)
+    wide = pivot_objects(nodes, wanted, ["name", "type", "internalType", "indexed"])
+    # of a route such as /abi/3/inputs/0/components/1, which holds one "puts/": cut at it, not by the expression once more
+    path = F.replace(F.substring_index("route", "puts/", -1), F.lit("/components/"), F.lit("."))
+    head = F.substring_index(F.substring_index("route", "puts/", 1), "/", -2)
+    placed = wide.select(F.col("doc").alias("abi_id"), F.substring_index(head, "/", 1).cast("int").alias("item_no"), F.concat(F.substring_index(head, "/", -1), F.lit("puts")).alias("side"), path.alias("param_path"), *(c for c in wide.columns if c.endswith("_value")))
+    depth = F.length("param_path") - F.length(F.replace("param_path", F.lit("."))) + 1
+    up = F.nullif(F.call_function("substring_index", F.col("param_path"), F.lit("."), F.col("depth") - 1), F.lit(""))
+    own = [F.col("name_value").alias("name"), F.col("type_value").alias("type"), F.col("internalType_value").alias("internal_type"), F.col("indexed_value").try_cast("boolean").alias("indexed")]
+    return placed.withColumn("depth", depth).select("abi_id", "item_no", "side", "param_path", up.alias("parent_path"), "depth", *own)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from marlstone.operators import shred
+from marlstone.plans import queries
+from marlstone.session import work_dir
 
 SCHEMA = "abi_id bigint, raw_json string, doc string, node int"
 
@@ -88,3 +91,18 @@ def test_nesting_of_any_depth(spark):
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert found(empty) == [] and shred.abi_items(shred.abi_nodes(empty)).count() == 0
+
+
+def test_found_does_the_whole_pivot(spark, tmp_path):
+    """p3_found makes the parameter table with all fields and gives its keys, whatever the fields hold."""
+    inputs = [{"name": "a", "type": "tuple", "internalType": "struct S", "indexed": True, "components": [{"name": "b", "type": "uint8"}]}, {"name": "c", "indexed": "neither"}, {}]
+    rows = [(1, json.dumps([{"type": "event", "name": "e", "inputs": inputs}]), "clash", 0)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/abi_docs.parquet")
+    shared = Path(work_dir(spark).removeprefix("file:"))
+    before = set(shared.iterdir())
+    got = queries.p3_found(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == sorted((1, *x) for x in model(rows[0][1]))
+    (made,) = set(shared.iterdir()) - before
+    assert {tuple(r) for r in spark.read.parquet(str(made)).select("param_path", "parent_path", "name", "type", "internal_type", "indexed").collect()} == {
+        ("0", None, "a", "tuple", "struct S", True), ("0.0", "0", "b", "uint8", None, None), ("1", None, "c", None, None, None), ("2", None, None, None, None, None),
+    }
